@@ -28,10 +28,12 @@ sort-merge join, whose skewed partitions adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Work, filter_rows, may_contain
+from quern.llm.common import Work, filter_rows, may_contain, without
 
 #: Cells of the cost sketch, and the share of documents (one in so many) it is estimated on.
 #: It only sets the order in which segments are tried; results don't depend on it.
@@ -74,10 +76,21 @@ def _costs(sample: DataFrame) -> list[int]:
     return out
 
 
-def _sets(docs: DataFrame, text_col: str, id_col: str, n: int, seed: int) -> DataFrame:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """doc_id, text, and a 128-bit key of both."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_array(lower_ascii(text)).alias("words"))
-    return words.select("doc_id", shingle_hashes(F.col("words"), n, seed).alias("hashes"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
+    return plain.select("doc_id", "text", F.unhex(F.md5(name.cast("binary"))).alias("key"))
+
+
+def _hashes(n: int, seed: int) -> Column:
+    return let(word_array(lower_ascii(F.col("text"))), lambda w: shingle_hashes(w, n, seed))
 
 
 def ngram_jaccard_join(
@@ -87,66 +100,96 @@ def ngram_jaccard_join(
 
     Two rows are linked when ``100 * |A & B| >= percent * |A | B|``, for non-empty sets.
     """
+    keyed = _keyed(docs, text_col, id_col)
     for seed in range(42, 50):
         work = Work(spark, "ngram_join")
-        table = _prepare(work, docs, text_col, id_col, n, seed)
+        ranked = _ranked(keyed, n, seed)
+        table = work.save(
+            keyed.select("doc_id", "key", ranked.alias("tokens")).select(
+                "doc_id", "key", F.size("tokens").alias("l"), F.xxhash64("tokens").alias("class_id"), F.xxhash64(F.lit(7), "tokens").alias("check")
+            ),
+            "sets",
+        )
         classes = work.save(
             table.where("l > 0").groupBy("class_id").agg(
-                F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.min("check").alias("c0"), F.max("check").alias("c1"),
-                F.first("l").alias("l"),
+                F.min(F.struct("doc_id", "key")).alias("rep"), F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n_class"),
+                F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("l").alias("l"), F.min("l").alias("l0"),
             ),
             "classes",
         )
-        if not classes.where("c0 != c1").take(1):
+        if not classes.where("c0 != c1 or l != l0").take(1):
             break
         work.drop("sets", "classes")
-    links = _links(work, table, classes, percent)
+    links = _links(work, keyed, ranked, table, classes, percent)
     return _answer(work, table, classes, links)
 
 
-def _prepare(work: Work, docs: DataFrame, text_col: str, id_col: str, n: int, seed: int) -> DataFrame:
-    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(COST_SAMPLE)) == 0)
-    costs = _costs(_sets(sample, text_col, id_col, n, seed))
+def _ranked(keyed: DataFrame, n: int, seed: int) -> Column:
+    """The set with each token's cost in its upper bits, so that ascending order is cheapest first."""
+    sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(COST_SAMPLE)) == 0)
+    costs = _costs(sample.select(_hashes(n, seed).alias("hashes")))
     table = F.expr(f"cast(split('{','.join(map(str, costs))}', ',') as array<bigint>)")
-    # The cost is in the upper bits, so that ascending order is cheapest first.
-    ranked = F.sort_array(
-        F.transform("hashes", lambda h: F.shiftleft(F.element_at(table, (h % COST_CELLS + 1).cast("int")), 59).bitwiseOR(h))
-    )
-    sets = _sets(docs, text_col, id_col, n, seed).select("doc_id", ranked.alias("tokens"))
-    return work.save(
-        sets.select(
-            "doc_id", F.size("tokens").alias("l"), F.xxhash64("tokens").alias("class_id"),
-            F.xxhash64(F.lit(7), "tokens", F.size("tokens")).alias("check"), "tokens",
-        ),
-        "sets",
-    )
+    cost = lambda h: F.element_at(table, (h % COST_CELLS + 1).cast("int"))
+    return F.sort_array(F.transform(_hashes(n, seed), lambda h: F.shiftleft(cost(h), 59).bitwiseOR(h)))
 
 
-def _links(work: Work, table: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _links(work: Work, keyed: DataFrame, ranked: Column, table: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes, a < b, that reach the threshold."""
+    # One document stands for its class: the others (few) are taken out by their keys.
+    reps = classes.select("class_id", F.col("rep.key").alias("key"))
+    copies = table.where("l > 0").select("class_id", "key").join(classes.where("n_class > 1").select("class_id", F.col("rep.key").alias("rep_key")), "class_id")
+    copies = work.save(copies.where("key != rep_key").select("key").distinct(), "copies")
+    sets = without(keyed, "key", copies).select(ranked.alias("tokens")).where(F.size("tokens") > 0)
     prefix = F.expr(f"l - cast(ceil({percent} * l / 100) as int) + 1")
-    once = table.where("l > 0").select("class_id", "l", F.slice("tokens", F.lit(1), prefix).alias("p")).groupBy("class_id").agg(
-        F.first("l").alias("l"), F.first("p").alias("p")
+    heads = sets.select(F.xxhash64("tokens").alias("class_id"), F.size("tokens").alias("l"), "tokens").select(
+        "class_id", "l", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token")
     )
-    postings = work.save(once.select("class_id", "l", F.posexplode("p").alias("pos", "token")), "postings")
-    a, b = (postings.select("token", *(F.col(c).alias(x + c[0]) for c in ("class_id", "l", "pos"))) for x in ("a", "b"))
+    heads = heads.repartition("token")  # one exchange, read by both sides
+    a, b = (heads.select("token", *(F.col(c).alias(x + c[0]) for c in ("class_id", "l", "pos"))) for x in ("a", "b"))
     need = f"cast(ceil({percent} * (al + bl) / {100 + percent}) as int)"  # of the intersection
-    pairs = a.join(b, "token").where("ac < bc").where(f"100 * least(al, bl) >= {percent} * greatest(al, bl)").where(
+    met = a.join(b, "token").where("ac < bc").where(f"100 * least(al, bl) >= {percent} * greatest(al, bl)").where(
         f"1 + least(al - ap - 1, bl - bp - 1) + least(ap, bp) >= {need}"
-    ).select("ac", "bc").distinct()
-    pairs = work.save(pairs, "pairs")
-    work.drop("postings")
-    members = pairs.select(F.col("ac").alias("class_id")).union(pairs.select("bc"))
-    sets = may_contain(table.where("l > 0").select("class_id", "l", "tokens"), F.col("class_id"), filter_rows(members, "class_id"))
-    sets = work.save(sets.groupBy("class_id").agg(F.first("l").alias("l"), F.first("tokens").alias("tokens")), "candidates")
-    left = sets.select(F.col("class_id").alias("ac"), F.col("l").alias("al"), F.col("tokens").alias("at"))
-    right = sets.select(F.col("class_id").alias("bc"), F.col("l").alias("bl"), F.col("tokens").alias("bt"))
-    both = pairs.join(left, "ac").join(right, "bc").withColumn("i", F.size(F.array_intersect("at", "bt")))
-    links = work.save(both.where(f"100 * i >= {percent} * (al + bl - i)").select(F.col("ac").alias("a"), F.col("bc").alias("b")), "links")
-    work.drop("pairs", "candidates")
+    )
+    # What is shared up to the last common token, and at most all that follows it.
+    pairs = met.groupBy("ac", "bc", "al", "bl").agg(F.count(F.lit(1)).alias("c"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
+    pairs = work.save(pairs.where(f"c + least(al - ap - 1, bl - bp - 1) >= {need}").select("ac", "bc", "al", "bl"), "pairs")
+    links = work.save(_verified(work, keyed, ranked, reps, pairs, percent), "links")
+    work.drop("pairs", "copies", "chunks", "cells")
     return links
 
 
+#: Tokens that a chunk of documents holds on average; two chunks meet in one cell.
+CHUNK_TOKENS = 16_384
+
+
+def _verified(work: Work, keyed: DataFrame, ranked: Column, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Candidates whose whole sets reach the threshold.
+
+    Documents with a common smallest candidate form a block, cut into chunks of bounded size.  A set goes
+    once to each cell (pair of chunks) in which it has a candidate, not once per candidate.
+    """
+    ends = pairs.select(F.col("ac").alias("v"), F.col("al").alias("l"), F.col("bc").alias("u")).union(pairs.select("bc", "bl", "ac"))
+    nodes = ends.groupBy("v").agg(F.first("l").alias("l"), F.least(F.min("u"), F.col("v")).alias("block"))
+    sizes = nodes.groupBy("block").agg(F.ceil(F.sum("l") / CHUNK_TOKENS).cast("int").alias("parts"))
+    chunk = F.xxhash64("block", F.pmod(F.xxhash64("v"), F.col("parts")))
+    chunks = work.save(nodes.join(sizes, "block").select("v", chunk.alias("chunk")), "chunks")
+    placed = pairs.join(chunks.select(F.col("v").alias("ac"), F.col("chunk").alias("ak")), "ac").join(chunks.select(F.col("v").alias("bc"), F.col("chunk").alias("bk")), "bc")
+    placed = work.save(placed.select(F.xxhash64(F.least("ak", "bk"), F.greatest("ak", "bk")).alias("cell"), "ac", "bc", "al", "bl"), "cells")
+    members = placed.select("cell", F.col("ac").alias("class_id")).union(placed.select("cell", "bc")).distinct()
+    wanted = reps.join(chunks.select(F.col("v").alias("class_id")), "class_id", "left_semi")
+    some = may_contain(keyed, F.col("key"), filter_rows(wanted, "key")).select(ranked.alias("tokens"))
+    some = some.where(F.size("tokens") > 0).select(F.xxhash64("tokens").alias("class_id"), "tokens").groupBy("class_id").agg(F.first("tokens").alias("tokens"))
+    held = members.join(some, "class_id").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "tokens"))).alias("sets"))
+    asked = placed.groupBy("cell").agg(F.collect_list(F.struct("ac", "bc", "al", "bl")).alias("asked"))
+    both = asked.join(held, "cell").select(
+        F.explode(
+            F.transform("asked", lambda p: F.struct(p["ac"].alias("a"), p["bc"].alias("b"), (p["al"] + p["bl"]).alias("t"),
+                                                    F.size(F.array_intersect(F.element_at("sets", p["ac"]), F.element_at("sets", p["bc"]))).alias("i")))
+        ).alias("p")
+    )
+    return both.select("p.*").where(f"100 * i >= {percent} * (t - i)").select("a", "b")
+
+
 def components(work: Work, links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links``; label is the smallest node reachable."""
     edges = work.save(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "edges")
@@ -170,8 +213,8 @@ def _answer(work: Work, table: DataFrame, classes: DataFrame, links: DataFrame)
     ends = links.union(links.select("b", "a"))
     degree = ends.join(sizes, ends["b"] == sizes["class_id"]).groupBy(F.col("a").alias("class_id")).agg(F.sum("n_class").alias("others"))
     label = components(work, links).withColumnRenamed("node", "class_id")
-    named = classes.join(label, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
-    lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = classes.select("class_id", "lowest", "n_class").join(label, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
+    lowest = named.groupBy("label").agg(F.min("lowest").alias("component_id"))
     per_class = named.join(lowest, "label").join(degree, "class_id", "left").select(
         "class_id", "component_id", (F.coalesce("others", F.lit(0)) + F.col("n_class") - 1).alias("n_similar"), "n_class"
     )
