@@ -37,7 +37,7 @@ from quern.llm.common import Work, filter_rows, may_contain, without
 
 #: Cells of the cost sketch, and the share of documents (one in so many) it is estimated on.
 #: It only sets the order in which segments are tried; results don't depend on it.
-COST_CELLS, COST_SAMPLE = 1 << 16, 16
+COST_CELLS, COST_SAMPLE = 1 << 20, 16
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,12 +67,14 @@ def shingle_hashes(words: Column, n: int, seed: int) -> Column:
 
 
 def _costs(sample: DataFrame) -> list[int]:
-    """log2 of the highest count in each cell."""
-    cell = F.col("h") % COST_CELLS
-    top = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().groupBy(cell.cast("int").alias("cell")).agg(F.max("count").alias("n"))
-    out = [0] * COST_CELLS
-    for cell_id, n in top.collect():  # COST_CELLS rows at most
-        out[cell_id] = min(15, (n - 1).bit_length())
+    """log2 of the highest count in each cell, 4 bits a cell and 16 cells a number."""
+    counts = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1")
+    cost = F.least(F.lit(15), F.ceil(F.log2("count"))).cast("long")
+    cells = counts.groupBy((F.col("h") % COST_CELLS).alias("cell")).agg(F.max(cost).alias("cost"))
+    word = F.expr("bit_or(shiftleft(cost, cast(4 * (cell % 16) as int)))")
+    out = [0] * (COST_CELLS // 16)
+    for at, bits in cells.groupBy(F.expr("cast(cell div 16 as int)").alias("at")).agg(word.alias("bits")).collect():  # COST_CELLS / 16 rows at most
+        out[at] = bits
     return out
 
 
@@ -129,7 +131,12 @@ def _ranked(keyed: DataFrame, n: int, seed: int) -> Column:
     sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(COST_SAMPLE)) == 0)
     costs = _costs(sample.select(_hashes(n, seed).alias("hashes")))
     table = F.expr(f"cast(split('{','.join(map(str, costs))}', ',') as array<bigint>)")
-    cost = lambda h: F.element_at(table, (h % COST_CELLS + 1).cast("int"))
+    last = COST_CELLS - 1
+
+    def cost(h: Column) -> Column:
+        word = F.element_at(table, (F.shiftright(h.bitwiseAND(last), 4) + 1).cast("int"))
+        return F.call_function("shiftrightunsigned", word, (h.bitwiseAND(15) * 4).cast("int")).bitwiseAND(15)
+
     return F.sort_array(F.transform(_hashes(n, seed), lambda h: F.shiftleft(cost(h), 59).bitwiseOR(h)))
 
 
@@ -139,7 +146,7 @@ def _links(work: Work, keyed: DataFrame, ranked: Column, table: DataFrame, class
     reps = classes.select("class_id", F.col("rep.key").alias("key"))
     copies = table.where("l > 0").select("class_id", "key").join(classes.where("n_class > 1").select("class_id", F.col("rep.key").alias("rep_key")), "class_id")
     copies = work.save(copies.where("key != rep_key").select("key").distinct(), "copies")
-    sets = without(keyed, "key", copies).select(ranked.alias("tokens")).where(F.size("tokens") > 0)
+    sets = without(keyed, "key", copies).select(ranked.alias("tokens"))
     prefix = F.expr(f"l - cast(ceil({percent} * l / 100) as int) + 1")
     heads = sets.select(F.xxhash64("tokens").alias("class_id"), F.size("tokens").alias("l"), "tokens").select(
         "class_id", "l", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token")
@@ -150,9 +157,11 @@ def _links(work: Work, keyed: DataFrame, ranked: Column, table: DataFrame, class
     met = a.join(b, "token").where("ac < bc").where(f"100 * least(al, bl) >= {percent} * greatest(al, bl)").where(
         f"1 + least(al - ap - 1, bl - bp - 1) + least(ap, bp) >= {need}"
     )
-    # What is shared up to the last common token, and at most all that follows it.
+    # Of the set whose head ends first in the order, what its head doesn't share isn't shared at all.
     pairs = met.groupBy("ac", "bc", "al", "bl").agg(F.count(F.lit(1)).alias("c"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
-    pairs = work.save(pairs.where(f"c + least(al - ap - 1, bl - bp - 1) >= {need}").select("ac", "bc", "al", "bl"), "pairs")
+    rest = " , ".join(f"{x}l - ({x}l - cast(ceil({percent} * {x}l / 100) as int) + 1)" for x in "ab")
+    pairs = pairs.where(f"c + greatest({rest}) >= {need}").where(f"c + least(al - ap - 1, bl - bp - 1) >= {need}")
+    pairs = work.save(pairs.select("ac", "bc", "al", "bl"), "pairs")
     links = work.save(_verified(work, keyed, ranked, reps, pairs, percent), "links")
     work.drop("pairs", "copies", "chunks", "cells")
     return links
@@ -178,7 +187,7 @@ def _verified(work: Work, keyed: DataFrame, ranked: Column, reps: DataFrame, pai
     members = placed.select("cell", F.col("ac").alias("class_id")).union(placed.select("cell", "bc")).distinct()
     wanted = reps.join(chunks.select(F.col("v").alias("class_id")), "class_id", "left_semi")
     some = may_contain(keyed, F.col("key"), filter_rows(wanted, "key")).select(ranked.alias("tokens"))
-    some = some.where(F.size("tokens") > 0).select(F.xxhash64("tokens").alias("class_id"), "tokens").groupBy("class_id").agg(F.first("tokens").alias("tokens"))
+    some = some.select(F.xxhash64("tokens").alias("class_id"), "tokens").groupBy("class_id").agg(F.first("tokens").alias("tokens"))
     held = members.join(some, "class_id").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "tokens"))).alias("sets"))
     asked = placed.groupBy("cell").agg(F.collect_list(F.struct("ac", "bc", "al", "bl")).alias("asked"))
     both = asked.join(held, "cell").select(
