@@ -37,7 +37,7 @@ from quern.llm.common import Work, filter_rows, may_contain, without
 
 #: Cells of the cost sketch, and the share of documents (one in so many) it is estimated on.
 #: It only sets the order in which segments are tried; results don't depend on it.
-COST_CELLS, COST_SAMPLE = 1 << 20, 16
+COST_CELLS, COST_SAMPLE = 1 << 18, 16
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,7 +68,7 @@ def shingle_hashes(words: Column, n: int, seed: int) -> Column:
 
 def _costs(sample: DataFrame) -> list[int]:
     """log2 of the highest count in each cell, 4 bits a cell and 16 cells a number."""
-    counts = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1")
+    counts = sample.select(F.explode_outer("hashes").alias("h")).groupBy("h").count().where("count > 1 and h is not null")
     cost = F.least(F.lit(15), F.ceil(F.log2("count"))).cast("long")
     cells = counts.groupBy((F.col("h") % COST_CELLS).alias("cell")).agg(F.max(cost).alias("cost"))
     word = F.expr("bit_or(shiftleft(cost, cast(4 * (cell % 16) as int)))")
@@ -149,8 +149,8 @@ def _links(work: Work, keyed: DataFrame, ranked: Column, table: DataFrame, class
     sets = without(keyed, "key", copies).select(ranked.alias("tokens"))
     prefix = F.expr(f"l - cast(ceil({percent} * l / 100) as int) + 1")
     heads = sets.select(F.xxhash64("tokens").alias("class_id"), F.size("tokens").alias("l"), "tokens").select(
-        "class_id", "l", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token")
-    )
+        "class_id", "l", F.posexplode_outer(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token")
+    )  # outer: else a filter on the array is inferred, which computes it twice
     heads = heads.repartition("token")  # one exchange, read by both sides
     a, b = (heads.select("token", *(F.col(c).alias(x + c[0]) for c in ("class_id", "l", "pos"))) for x in ("a", "b"))
     need = f"cast(ceil({percent} * (al + bl) / {100 + percent}) as int)"  # of the intersection

@@ -178,8 +178,8 @@ def build_index(work: Work, docs: DataFrame, trigrams: list[str], segments: int)
     """Postings (segment, trigram, bits), written to the shared folder."""
     low = docs.select("segment", "bit", lower_ascii(F.col("text")).alias("low"))
     found = F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))), lambda x: x.isNotNull())
-    rows = low.select("segment", "bit", F.explode(found).alias("trigram"))
-    return work.save(rows.groupBy("segment", "trigram").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), "index")
+    rows = low.select("segment", "bit", F.explode_outer(found).alias("trigram"))  # outer: else the array is computed twice
+    return work.save(rows.where("trigram is not null").groupBy("segment", "trigram").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), "index")
 
 
 def scan_secrets(
