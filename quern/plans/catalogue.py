@@ -1,10 +1,388 @@
-"""All queries over the standard tables, each with its SQL where SQL can say it."""
+"""All queries over the standard tables, each with its SQL where SQL can say it.
+
+``events`` plays a session log: a user's sign-ups start rounds, views, clicks and errors are
+fetches (an error failed), purchases are discoveries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import text as tx
+from quern.functions import urls
+from quern.functions.html_clean import page_udf
+from quern.operators import frontier, scoring, sessions, stats, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+Tables = Callable[[str], DataFrame]
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function of (spark, tables) under its name, with the same result as ``sql``."""
+
+    def wrap(f: Callable[[SparkSession, Tables], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+_N = "n AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS round FROM events)"
+
+
+@query("SELECT user_id, row_number() OVER w AS round, ts AS round_start, lead(ts) OVER w AS round_end FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def round_windows(spark, t):
+    return sessions.windows(t("events"))
+
+
+@query("""WITH w AS (SELECT user_id, row_number() OVER o AS round, ts AS round_start, lead(ts) OVER o AS round_end FROM events WHERE event_type = 'signup' WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT w.user_id, round, round_start, round_end, count(e.event_id) AS fetched, count(e.event_id) FILTER (event_type <> 'error') AS fetch_success, count(e.event_id) FILTER (event_type = 'error') AS fetch_failed
+FROM w LEFT JOIN events e ON e.user_id = w.user_id AND e.event_type IN ('view', 'click', 'error') AND e.ts >= round_start AND (round_end IS NULL OR e.ts < round_end) GROUP BY ALL""")
+def round_report(spark, t):
+    return sessions.round_report(t("events"))
+
+
+@query(f"""WITH {_N} SELECT user_id, round, count(*) FILTER (event_type = 'click') AS cat_click, count(*) FILTER (event_type = 'error') AS cat_error, count(*) FILTER (event_type = 'view') AS cat_view
+FROM n WHERE round > 0 AND event_type IN ('view', 'click', 'error') GROUP BY 1, 2""")
+def round_category_pivot(spark, t):
+    n = sessions.numbered(t("events")).where("round > 0").where(F.col("event_type").isin(*sessions.CRAWLS))
+    p = n.groupBy("user_id", "round").pivot("event_type", sorted(sessions.CRAWLS)).count().na.fill(0)
+    return p.select("user_id", "round", *(F.col(c).alias(f"cat_{c}") for c in sorted(sessions.CRAWLS)))
+
+
+@query(f"WITH {_N} SELECT event_id, user_id FROM n WHERE round = 0 AND event_type IN ('view', 'click', 'error')")
+def unassigned_crawls(spark, t):
+    return sessions.numbered(t("events")).where("round = 0").where(F.col("event_type").isin(*sessions.CRAWLS)).select("event_id", "user_id")
+
+
+@query(f"""WITH {_N} SELECT user_id, round, round(count(*) FILTER (event_type = 'click')::DOUBLE / nullif(count(*) FILTER (event_type IN ('click', 'view')), 0), 6) AS relevant_ratio FROM n WHERE round > 0 GROUP BY 1, 2""")
+def relevant_ratio(spark, t):
+    n = sessions.numbered(t("events")).where("round > 0")
+    of = lambda *k: F.count(F.when(F.col("event_type").isin(*k), 1))
+    return n.groupBy("user_id", "round").agg(F.round(F.try_divide(of("click"), of("click", "view")), 6).alias("relevant_ratio"))
+
+
+@query("""SELECT event_id, user_id, round((epoch_us(ts) - epoch_us(prev)) / 1000000.0::DOUBLE, 3)::DOUBLE AS batch_seconds FROM
+(SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE event_type = 'purchase'""")
+def discovery_gap(spark, t):
+    return sessions.discovery_gaps(t("events"))
+
+
+@query("""WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events), u AS (SELECT day, count(DISTINCT user_id) AS batch_unique FROM s GROUP BY 1),
+f AS (SELECT day, count(*) AS batch_new FROM (SELECT user_id, min(day) AS day FROM s GROUP BY 1) GROUP BY 1)
+SELECT day, batch_unique, coalesce(batch_new, 0)::BIGINT AS batch_new, (sum(coalesce(batch_new, 0)) OVER (ORDER BY day))::BIGINT AS cumulative_unique, round(100.0::DOUBLE * coalesce(batch_new, 0) / batch_unique, 4) AS new_pct FROM u LEFT JOIN f USING (day)""")
+def discovery_yield(spark, t):
+    return sessions.yield_per_batch(t("events").select("user_id", F.to_date("ts").alias("day")), "user_id", "day")
+
+
+@query("""SELECT user_id, round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 4) AS productive, round(coalesce(sum(value) FILTER (event_type <> 'click'), 0), 4) AS other,
+CASE WHEN sum(value) > 0 THEN round(100 * coalesce(sum(value) FILTER (event_type = 'click'), 0) / sum(value), 4) ELSE 0 END AS productive_pct FROM events GROUP BY 1""")
+def time_productive(spark, t):
+    good, rest = (F.coalesce(F.sum(F.when(c, F.col("value"))), F.lit(0.0)) for c in (F.col("event_type") == "click", F.col("event_type") != "click"))
+    total = F.sum("value")
+    return t("events").groupBy("user_id").agg(
+        F.round(good, 4).alias("productive"), F.round(rest, 4).alias("other"), F.when(total > 0, F.round(100 * good / total, 4)).otherwise(F.lit(0.0)).alias("productive_pct")
+    )
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS sessions FROM events GROUP BY 1")
+def session_totals(spark, t):
+    return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("sessions"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_per_key(spark, t):
+    return store.latest(t("events"), "user_id", F.col("event_id").desc()).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def gold_not_crawled(spark, t):
+    return t("documents").select("doc_id").join(t("labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("""SELECT domain, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS r FROM (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain FROM pages)) WHERE r = 1""")
+def first_url_per_domain(spark, t):
+    p = t("pages").select("page_id", "url", urls.domain(F.col("url")).alias("domain"))
+    return p.groupBy("domain").agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url"))
+
+
+@query("""WITH d AS (SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain FROM pages)
+SELECT domain, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS pct FROM d GROUP BY 1""")
+def domain_counts(spark, t):
+    n = t("pages").groupBy(urls.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    total = t("pages").agg(F.count(F.lit(1)).alias("total"))
+    return n.join(F.broadcast(total)).select("domain", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('http', 'https') AND regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) <> '' AS crawlable, substr(split_part(url, '//', -1), 1, 40) AS label FROM pages")
+def valid_urls(spark, t):
+    return t("pages").select("page_id", urls.is_crawlable(F.col("url")).alias("crawlable"), urls.url_label(F.col("url")).alias("label"))
+
+
+def _links(t):
+    return t("pages").select("page_id", "url", F.explode(page_udf()("html", "url")["links"]).alias("link"))
+
+
+_LINKS = """l AS (SELECT DISTINCT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || h AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h FROM pages))"""
+
+
+@query(f"WITH {_LINKS} SELECT page_id, link FROM l")
+def page_links(spark, t):
+    return _links(t).select("page_id", "link")
+
+
+@query(f"WITH {_LINKS} SELECT link AS url, min(page_id) AS ord FROM l WHERE link NOT IN (SELECT url FROM pages) GROUP BY 1")
+def link_frontier(spark, t):
+    none = spark.createDataFrame([], "url string, ord long")
+    return frontier.add(_links(t).select(F.col("link").alias("url"), F.col("page_id").alias("ord")), none, t("pages"))
+
+
+@query()
+def page_clean(spark, t):
+    return t("pages").select("page_id", page_udf()("html", "url")["text"].alias("text"))
+
+
+@query()
+def page_clean_dedup(spark, t):
+    return t("pages").select("page_id", page_udf()("html", "url")["text_dedup"].alias("text"))
+
+
+@query()
+def clean_reduction(spark, t):
+    p = t("pages").select("page_id", F.octet_length("html").alias("html_bytes"), F.length(page_udf()("html", "url")["text_dedup"]).alias("chars"))
+    return p.withColumn("reduction_pct", F.round(F.try_divide(100.0 * (F.col("html_bytes") - F.col("chars")), "html_bytes"), 1))
+
+
+@query(r"""WITH x AS (SELECT doc_id, trim(u) AS line, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+f AS (SELECT doc_id, line, min(i) AS i FROM x WHERE line <> '' GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS text FROM documents d LEFT JOIN f USING (doc_id) GROUP BY 1""")
+def doc_line_dedup(spark, t):
+    return t("documents").select("doc_id", tx.dedup_lines(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, substr(text, 1, 500) AS text FROM documents")
+def text_cap(spark, t):
+    return t("documents").select("doc_id", F.substring("text", 1, 500).alias("text"))
+
+
+_TEMPLATES = ["Tierheim in {location}", "Wildlife rescue", "{location} animal shelter"]
+_QUERIES = """t(t_ord, template) AS (VALUES (0, 'Tierheim in {location}'), (1, 'Wildlife rescue'), (2, '{location} animal shelter')),
+q AS (SELECT t_ord, n_nationkey AS l_ord, CASE WHEN contains(template, '{location}') THEN replace(template, '{location}', n_name) ELSE template || ' ' || n_name END AS query FROM t, nation)"""
+
+
+def _queries(spark, t):
+    templates = spark.createDataFrame(list(enumerate(_TEMPLATES)), "t_ord int, template string")
+    return frontier.queries(templates, t("nation").select(F.col("n_nationkey").alias("l_ord"), F.col("n_name").alias("location")))
+
+
+@query(f"WITH {_QUERIES} SELECT t_ord, l_ord, query FROM q")
+def query_templates(spark, t):
+    return _queries(spark, t)
+
+
+@query(f"WITH {_QUERIES} SELECT query, (row_number() OVER (ORDER BY t_ord, l_ord) - 1) // 5 AS batch FROM q")
+def batched_queries(spark, t):
+    return frontier.in_batches(_queries(spark, t), 5, "t_ord", "l_ord").select("query", "batch")
+
+
+@query("""WITH d AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1 AS i FROM d)
+SELECT page_id, domain, max(page_id - i * 5) OVER (PARTITION BY domain ORDER BY i) + i * 5 AS start FROM n""")
+def politeness_schedule(spark, t):
+    p = t("pages").select("page_id", urls.domain(F.col("url")).alias("domain"), F.col("page_id").alias("arrival"))
+    return frontier.polite_starts(p, 5).select("page_id", "domain", "start")
+
+
+@query("SELECT url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def seed_antijoin(spark, t):
+    done = t("pages").join(t("labels"), F.col("page_id") == F.col("doc_id")).select(F.col("url").alias("source_url"), (F.col("quality") == 1).alias("fetch_success"))
+    return frontier.seeds(t("pages").select("url"), done, redo_failed=True)
+
+
+def _predicted(t):
+    guess = (F.col("n_chars") > 1000).cast("int")
+    return t("labels").join(t("documents"), "doc_id").select("doc_id", F.col("quality").alias("truth"), guess.alias("guess"))
+
+
+_P = "p AS (SELECT l.doc_id, quality AS truth, (n_chars > 1000)::INT AS guess FROM labels l JOIN documents USING (doc_id))"
+
+
+@query(f"""WITH {_P}, c AS (SELECT a AS truth, b AS guess, (SELECT count(*) FROM p WHERE truth = a AND guess = b) AS n FROM (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b))
+SELECT truth, guess, n, round(100.0::DOUBLE * n / nullif(sum(n) OVER (PARTITION BY truth), 0), 4) AS pct FROM c""")
+def confusion_matrix(spark, t):
+    return stats.confusion(_predicted(t), "truth", "guess", [0, 1])
+
+
+_W = "CASE WHEN {n} = 0 THEN 0 ELSE {f}({c}, ({h}::DOUBLE / nullif({n}, 0) + 3.8416 / (2.0::DOUBLE * nullif({n}, 0)) {s} 1.96 * sqrt({h}::DOUBLE / nullif({n}, 0) * (1 - {h}::DOUBLE / nullif({n}, 0)) / nullif({n}, 0) + 3.8416 / (4.0::DOUBLE * nullif({n}, 0) * {n})) * 1) / (1 + 3.8416 / nullif({n}, 0))) END"
+_LOW = lambda n: "round(" + _W.format(n=n, h="hits", f="greatest", c="0", s="-") + ", 6)"
+_HIGH = lambda n: "round(" + _W.format(n=n, h="hits", f="least", c="1", s="+") + ", 6)"
+
+
+@query(f"""WITH {_P}, k AS (SELECT k AS label, count(*) FILTER (truth = k) AS n_true, count(*) FILTER (guess = k) AS n_pred, count(*) FILTER (truth = k AND guess = k) AS hits FROM p, (VALUES (0), (1)) v(k) GROUP BY 1)
+SELECT label, n_true, n_pred, hits, round(hits::DOUBLE / nullif(n_true, 0), 6) AS recall, {_LOW('n_true')} AS recall_low, {_HIGH('n_true')} AS recall_high,
+round(hits::DOUBLE / nullif(n_pred, 0), 6) AS precision, {_LOW('n_pred')} AS precision_low, {_HIGH('n_pred')} AS precision_high FROM k""")
+def precision_recall_wilson(spark, t):
+    return stats.per_label(_predicted(t), "truth", "guess", [0, 1])
+
+
+@query(f"WITH {_P} SELECT count(*) AS n, round(avg((truth = guess)::INT), 6) AS accuracy FROM p")
+def accuracy(spark, t):
+    return _predicted(t).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("truth") == F.col("guess")).cast("int")), 6).alias("accuracy"))
+
+
+@query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS low, max(value) AS high, round(quantile_cont(value, 0.25), 6) AS q1,
+round(quantile_cont(value, 0.75), 6) AS q3, round(sum(value), 4) AS total FROM events GROUP BY 1""")
+def timing_summary(spark, t):
+    r = lambda c: F.round(c, 6)
+    return t("events").groupBy("event_type").agg(
+        F.count("value").alias("n"), r(F.avg("value")).alias("mean"), r(F.median("value")).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"),
+        r(F.percentile("value", F.lit(0.25))).alias("q1"), r(F.percentile("value", F.lit(0.75))).alias("q3"), F.round(F.sum("value"), 4).alias("total"),
+    )
+
+
+@query("""WITH e AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents)
+SELECT least((n_chars - lo) * 12 // (hi - lo), 11) AS bin, count(*) AS n FROM documents, e GROUP BY 1""")
+def histogram12(spark, t):
+    return stats.histogram(t("documents"), "n_chars")
+
+
+@query("SELECT event_type, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS pct FROM events GROUP BY 1")
+def value_counts(spark, t):
+    n = t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("event_type", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("pct"))  # five rows
+
+
+@query("SELECT CASE WHEN count(*) >= 3 THEN round(corr(quality, n_chars), 6) END AS r FROM labels JOIN documents USING (doc_id)")
+def pearson(spark, t):
+    j = t("labels").join(t("documents"), "doc_id")
+    return j.agg(F.when(F.count(F.lit(1)) >= 3, F.round(F.corr(F.col("quality").cast("double"), F.col("n_chars").cast("double")), 6)).alias("r"))
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem GROUP BY 1")
+def simple_regression(spark, t):
+    y, x = F.col("l_extendedprice"), F.col("l_quantity")
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 2).alias("intercept"), F.round(F.corr(y, x), 6).alias("r"))
+
+
+@query()
+def ols4(spark, t):
+    return stats.ols(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+
+
+def _pairs(t):
+    p = t("events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
+    return p.dropna(subset=["click", "view"]).select("user_id", F.round("click", 6).alias("click"), F.round("view", 6).alias("view"))
+
+
+_PAIR = "d AS (SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) - round(avg(value) FILTER (event_type = 'view'), 6) AS d FROM events GROUP BY 1 HAVING d IS NOT NULL)"
+
+
+@query(f"WITH {_PAIR} SELECT count(*) AS n, round(avg(d), 6) AS mean_diff, round(stddev_samp(d), 6) AS sd_diff, round(avg(d) * sqrt(count(*)) / stddev_samp(d), 6) AS t FROM d")
+def paired_ttest(spark, t):
+    return stats.paired_t(_pairs(t), "click", "view")
+
+
+@query(f"""WITH {_PAIR}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0)
+SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM r""")
+def wilcoxon(spark, t):
+    return stats.wilcoxon(_pairs(t), "click", "view", "user_id")
+
+
+@query("""SELECT event_type, round(avg(value) FILTER (user_id % 2 = 0), 6) AS even_mean, coalesce(round(stddev_samp(value) FILTER (user_id % 2 = 0), 6), 0) AS even_sd,
+round(avg(value) FILTER (user_id % 2 = 1), 6) AS odd_mean, coalesce(round(stddev_samp(value) FILTER (user_id % 2 = 1), 6), 0) AS odd_sd FROM events GROUP BY 1""")
+def pivot_mean_std(spark, t):
+    e = t("events").withColumn("half", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    p = e.groupBy("event_type").pivot("half", ["even", "odd"]).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+    return p.select("event_type", "even_mean", F.coalesce("even_sd", F.lit(0.0)).alias("even_sd"), "odd_mean", F.coalesce("odd_sd", F.lit(0.0)).alias("odd_sd"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_props(spark, t):
+    v = F.try_parse_json("props")
+    return t("events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
+
+
+@query("""SELECT 'name' AS field, count(*) FILTER (coalesce(c_name, '') <> '') AS present, count(*) AS total FROM customer UNION ALL
+SELECT 'segment', count(*) FILTER (coalesce(nullif(c_mktsegment, 'BUILDING'), '') <> ''), count(*) FROM customer""")
+def field_completeness(spark, t):
+    c = t("customer").select(F.col("c_name").alias("name"), F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment"))
+    return stats.completeness(c, ["name", "segment"])
+
+
+@query("""WITH s AS (SELECT p_partkey, list_distinct(list_filter(list_transform(string_split(p_type, ' '), lambda x: lower(trim(x))), lambda x: x <> '')) AS a, list_distinct(list_filter(list_transform(string_split(p_name, ' '), lambda x: lower(trim(x))), lambda x: x <> '')) AS b FROM part)
+SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0), 6) AS jaccard FROM s""")
+def jaccard(spark, t):
+    return t("part").select("p_partkey", F.round(tx.jaccard(tx.term_set(F.col("p_type"), " "), tx.term_set(F.col("p_name"), " ")), 6).alias("jaccard"))
+
+
+@query(r"""WITH p AS (SELECT c_custkey, '+1 250-' || c_custkey AS a, c_name AS b FROM customer), d AS (SELECT c_custkey, regexp_replace(a, '\D', '', 'g') AS a, regexp_replace(b, '\D', '', 'g') AS b FROM p)
+SELECT c_custkey, CASE WHEN least(length(a), length(b)) > 0 THEN right(a, least(length(a), length(b))) = right(b, least(length(a), length(b))) END AS same FROM d""")
+def phone_suffix(spark, t):
+    a = F.concat(F.lit("+1 250-"), F.col("c_custkey").cast("string"))
+    return t("customer").select("c_custkey", tx.phone_matches(a, F.col("c_name")).alias("same"))
+
+
+@query()
+def greedy_match(spark, t):
+    part = t("part")
+    gold = part.select((F.col("p_partkey") % 97).alias("key"), F.col("p_partkey").alias("gold_id"), F.col("p_name").alias("name"))
+    return scoring.match_records(gold, part.select((F.col("p_partkey") % 97).alias("key"), F.col("p_partkey").alias("extracted_id"), F.col("p_type").alias("name")))
+
+
+@query("""WITH a AS (SELECT o_orderkey, 4::BIGINT AS gold_entry_count FROM orders), b AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey, 1::BIGINT AS gold_entry_count, coalesce(n, 0) AS extracted_entry_count, coalesce(n, 0) <> 1 AS mismatch FROM a LEFT JOIN b ON o_orderkey = l_orderkey""")
+def entry_counts(spark, t):
+    return scoring.entry_counts(t("orders").select("o_orderkey"), t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def fk_orphans(spark, t):
+    return store.orphans(t("lineitem"), t("orders").where("o_orderstatus <> 'P'"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 100000)")
+def cascade_delete(spark, t):
+    return store.cascade(t("lineitem"), t("orders").where("o_totalprice < 100000"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'bad' ELSE source END AS category FROM documents LEFT JOIN labels USING (doc_id)")
+def upsert_category(spark, t):
+    found = t("labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("category"))
+    return store.set_category(t("documents").select("doc_id", F.col("source").alias("category")), found, "doc_id")
+
+
+@query("SELECT doc_id, 'system' AS role1, 'Classify: en | de | fr | es' AS content1, 'user' AS role2, 'Text:' || chr(10) || substr(text, 1, 200) AS content2 FROM documents")
+def chat_messages(spark, t):
+    user = F.concat(F.lit("Text:\n"), F.substring("text", 1, 200))
+    m = F.array(F.struct(F.lit("system").alias("role"), F.lit("Classify: en | de | fr | es").alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
+    d = t("documents").select("doc_id", m.alias("m"))
+    return d.select("doc_id", *(F.col("m")[i][k].alias(f"{k}{i + 1}") for i in (0, 1) for k in ("role", "content")))
+
+
+@query("SELECT page_id, CASE WHEN coalesce(html, '') = '' THEN NULL WHEN length(html) > 5000 THEN 'LIST' WHEN length(html) > 1500 THEN 'STATION' ELSE 'IRRELEVANT' END AS category FROM pages")
+def categorize_pages(spark, t):
+    n = F.length("html")
+    return t("pages").select("page_id", F.when(F.coalesce(n, F.lit(0)) == 0, None).when(n > 5000, "LIST").when(n > 1500, "STATION").otherwise("IRRELEVANT").alias("category"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % 500 AS dst FROM orders), r(url) AS (SELECT 1::BIGINT UNION SELECT dst FROM e JOIN r ON src = url) SELECT url FROM r""")
+def frontier_fixpoint(spark, t):
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = f"{base.rstrip('/')}/fixpoint-{uuid.uuid4().hex}"
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    edges = save(t("orders").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 500).alias("dst")).distinct(), "edges")
+    roots = spark.range(1, 2).select(F.col("id").alias("url"))
+    return frontier.reachable(edges, roots, save).select("url")
