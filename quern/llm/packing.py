@@ -29,7 +29,8 @@ SLOT_ROWS = 20_000
 
 def count_words(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``."""
-    return F.size(F.split(F.concat(F.lit(" "), F.regexp_replace(text, "[\\x20\\x09-\\x0D]+$", "")), "[\\x20\\x09-\\x0D]+")) - 1
+    body = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+$", "")
+    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(F.concat(F.lit(" "), body), "[\\x20\\x09-\\x0D]+")) - 1)
 
 
 def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
