@@ -200,21 +200,26 @@ def _verified(work: Work, keyed: DataFrame, ranked: Column, reps: DataFrame, pai
 
 
 def components(work: Work, links: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``links``; label is the smallest node reachable."""
-    edges = work.save(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "edges")
-    labels = work.save(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels0")
-    for step in range(1, 200):
-        near = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        hop = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("new"))
-        of = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        nxt = work.save(hop.join(of, "new", "left").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("old")).alias("moved")), f"labels{step}")
-        moved = bool(nxt.where("moved").take(1))
-        work.drop(f"labels{step - 1}")
-        labels = nxt.select("node", "label")
-        if not moved:
+    """(node, label) for every node of ``links``; label is the smallest node reachable.
+
+    Large-star and small-star in turn: the larger neighbours of each node, then the smaller ones and the node
+    itself, are linked to the smallest of its neighbourhood instead.  That keeps what is connected, adds no edges,
+    and ends, after about logarithmically many rounds, when each component is one star around its smallest node.
+    """
+    stars = work.save(links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "stars0")
+    step = 0
+    while True:
+        parents = stars.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        if not parents.where("n > 1").take(1) and not stars.join(parents.select(F.col("v").alias("m")), "m", "left_semi").take(1):
             break
-    work.drop("edges")
-    return labels
+        step += 1
+        top = stars.union(stars.select("m", "v")).groupBy(F.col("v").alias("m")).agg(F.least(F.min("m"), F.first("v")).alias("top"))
+        large = work.save(stars.join(top, "m").select("v", F.col("top").alias("m")).distinct(), f"large{step}")
+        top = large.groupBy("v").agg(F.min("m").alias("top"))
+        rest = large.join(top, "v").where("m != top").select(F.col("m").alias("v"), F.col("top").alias("m"))
+        stars = work.save(rest.union(top).distinct(), f"stars{step}")
+        work.drop(f"stars{step - 1}", f"large{step}")
+    return stars.select(F.col("v").alias("node"), F.col("m").alias("label")).union(stars.select("m", "m").distinct())
 
 
 def _answer(work: Work, table: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
