@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Work, without
+from quern.llm.common import Work, filter_rows, may_contain, text_of, without
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.ngram_join import ngram_jaccard_join
 from quern.llm.packing import pack
@@ -30,12 +30,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.select(*(F.col(k).alias(c) for c, (k, _) in zip(docs.columns, keep)))
 
 
+def one_of_each(docs: DataFrame, key: Column, surplus: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``surplus`` (row_key, kept); of those with ``kept`` one row stays.
+
+    The key comes from the row's content, so it is the same however a read is split.
+    """
+    rows = docs.withColumn("row_key", key)
+    out = without(rows, "row_key", surplus)
+    again = surplus.where("kept")  # rows that repeat with their identifier
+    if again.take(1):
+        again = may_contain(rows, F.col("row_key"), filter_rows(again, "row_key")).join(again.select("row_key"), "row_key", "left_semi")
+        out = out.unionByName(again.dropDuplicates(["row_key"]).select(*rows.columns))
+    return out.select(*docs.columns)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    rows = docs.withColumn("row_key", F.monotonically_increasing_id())  # docs is a written table: the same on every read
-    dropped = exact_dedup(spark, rows, row_col="row_key").where("not kept").select(F.col("row").alias("row_key"))
-    dropped = Work(spark, "pipeline_exact").save(dropped, "dropped")
-    return without(rows, "row_key", dropped).select(*docs.columns)
+    name = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), sha)
+    found = exact_dedup(spark, docs).where("group_size > 1").groupBy(name(F.col("text_sha256")).alias("row_key"))
+    surplus = found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1").select("row_key", "kept")
+    surplus = Work(spark, "pipeline_exact").save(surplus, "surplus")
+    return one_of_each(docs, name(F.sha2(text_of(docs).cast("binary"), 256)), surplus)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

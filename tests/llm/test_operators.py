@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import html_extract, lang_id, license_scan, packing, quality_classifier, quality_rules, registry
 from quern.llm.bpe import Encoder, cuts
 from quern.llm.common import filter_rows, may_contain, without
@@ -56,6 +57,19 @@ def test_exact_dedup(spark, docs, width):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_pipeline_exact_keeps_rows_when_splits_change(spark, tmp_path):
+    rows = [*((i, f"text {i % 10}", i) for i in range(40)), (39, "text 9", 40), (None, "lost", 41), (None, "lost", 42), (50, None, 43), (51, "", 44), (7, "alone", 45), (7, "other", 46)]
+    spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(6).write.parquet(str(tmp_path / "docs"))
+    out = corpus_pipeline.exact(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")  # as after the loss of executors
+    try:
+        got = [(r.doc_id, r.text or "") for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    want = [*((30 + i, f"text {i}") for i in range(10)), (None, "lost"), (51, ""), (7, "alone"), (7, "other")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
