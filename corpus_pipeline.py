@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Work, filter_rows, may_contain, text_of, without
 from quern.llm.exact_dedup import exact_dedup
-from quern.llm.ngram_join import ngram_jaccard_join
+from quern.llm.ngram_join import content_key, surplus_rows
 from quern.llm.packing import pack
 from quern.llm.quality_classifier import train, with_statistics
 from quern.llm.secret_scan import redact, scan_secrets
@@ -54,10 +54,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id.  A null doc_id stays."""
-    groups = ngram_jaccard_join(spark, docs)
-    dropped = Work(spark, "pipeline_near").save(groups.where("doc_id != component_id").select("doc_id").distinct(), "dropped")
-    return without(docs, "doc_id", dropped)
+    """Of each group of linked rows the one with the smallest doc_id, a null doc_id last."""
+    return one_of_each(docs, content_key(), surplus_rows(spark, docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

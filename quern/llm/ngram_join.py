@@ -83,12 +83,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def content_key(text_col: str = "text", id_col: str = "doc_id") -> Column:
+    """A 128-bit key of identifier and text."""
+    parts = F.col(id_col).cast("long").cast("string"), F.col(text_col).cast("string")
+    return F.unhex(F.md5(F.concat_ws(":", *(F.coalesce(p, F.lit("")) for p in parts)).cast("binary")))
+
+
 def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, text, and a 128-bit key of both."""
+    """doc_id, text, and a key of both."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
-    return plain.select("doc_id", "text", F.unhex(F.md5(name.cast("binary"))).alias("key"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), content_key(text_col, id_col).alias("key"))
 
 
 def _hashes(n: int, seed: int) -> Column:
@@ -102,6 +106,32 @@ def ngram_jaccard_join(
 
     Two rows are linked when ``100 * |A & B| >= percent * |A | B|``, for non-empty sets.
     """
+    work, table, classes, links = _linked(spark, docs, text_col, id_col, n, percent)
+    return _answer(work, table, classes, links)
+
+
+def surplus_rows(
+    spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", n: int = 2, percent: int = 60
+) -> DataFrame:
+    """(row_key, kept): the ``content_key`` of every row but one of each group of linked rows.
+
+    The one has the smallest doc_id (null is larger than any), then the smallest key.  ``kept`` marks its key
+    where further rows have it too.
+    """
+    work, table, classes, links = _linked(spark, docs, text_col, id_col, n, percent)
+    label = components(work, links).withColumnRenamed("node", "class_id")
+    named = classes.select("class_id", "rep", "n_class").join(label, "class_id", "left").where("label is not null or n_class > 1")
+    named = named.select("class_id", "rep", F.coalesce("label", "class_id").alias("label"))
+    best = named.groupBy("label").agg(F.min("rep").alias("best"))
+    named = work.save(named.join(best, "label").select("class_id", F.col("best.key").alias("best")), "best")
+    rows = table.where("l > 0").join(named, "class_id").groupBy("key").agg(F.max(F.col("key") == F.col("best")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    out = work.save(rows.where("not kept or n > 1").select(F.col("key").alias("row_key"), "kept"), "surplus")
+    work.drop("sets", "classes", "links", "best")
+    return out
+
+
+def _linked(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> tuple[Work, DataFrame, DataFrame, DataFrame]:
+    """The run's folder, its rows, their classes, and the linked pairs of classes."""
     keyed = _keyed(docs, text_col, id_col)
     for seed in range(42, 50):
         work = Work(spark, "ngram_join")
@@ -114,7 +144,7 @@ def ngram_jaccard_join(
         )
         classes = work.save(
             table.where("l > 0").groupBy("class_id").agg(
-                F.min(F.struct("doc_id", "key")).alias("rep"), F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n_class"),
+                F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("rep"), F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n_class"),
                 F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("l").alias("l"), F.min("l").alias("l0"),
             ),
             "classes",
@@ -122,8 +152,7 @@ def ngram_jaccard_join(
         if not classes.where("c0 != c1 or l != l0").take(1):
             break
         work.drop("sets", "classes")
-    links = _links(work, keyed, ranked, table, classes, percent)
-    return _answer(work, table, classes, links)
+    return work, table, classes, _links(work, keyed, ranked, table, classes, percent)
 
 
 def _ranked(keyed: DataFrame, n: int, seed: int) -> Column:
