@@ -90,10 +90,12 @@ def run_loop(
             return reason, rounds, batches
 
 
-def reachable(edges: DataFrame, roots: DataFrame, save: Callable[[DataFrame, str], DataFrame], most: int = 100) -> DataFrame:
-    """(url, depth) of all that ``roots`` reach; every round is written, so lineage stays flat."""
+def reachable(edges: DataFrame, roots: DataFrame, save: Callable[[DataFrame, str], DataFrame], most: int = 0) -> DataFrame:
+    """(url, depth) of all that ``roots`` reach, or reach in ``most`` rounds (0 is unlimited); every round is written, so lineage stays flat."""
     seen = save(roots.select("url").distinct().withColumn("depth", F.lit(0)), "depth0")
-    for step in range(1, most + 1):
+    step = 0
+    while not most or step < most:
+        step += 1
         last = seen.where(F.col("depth") == step - 1)
         new = edges.join(last.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
         grown = save(seen.unionByName(new.withColumn("depth", F.lit(step))), f"depth{step}")

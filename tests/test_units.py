@@ -61,6 +61,19 @@ def test_run_loop_stop_rules():
     assert frontier.run_loop(["a"], [], frontier.Limits(rounds=2), lambda x: [x[0] + "b"], none, clock) == ("reached max_rounds", 2, 0)
 
 
+def test_reachable_goes_all_the_way_unless_limited(spark):
+    edges = spark.range(103).selectExpr("id AS src", "id + 1 AS dst")
+    roots = spark.sql("SELECT 0L AS url")
+    save = lambda df, _: spark.sql("SELECT * FROM VALUES " + ", ".join(f"({u}L, {d})" for u, d in df.collect()) + " AS t(url, depth)")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert {(r["url"], r["depth"]) for r in frontier.reachable(edges, roots, save).collect()} == {(i, i) for i in range(104)}
+        assert {r["url"] for r in frontier.reachable(edges, roots, save, most=3).collect()} == {0, 1, 2, 3}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_config():
     text = "a = 1;\n# note\nname = \"x, y\";\na = 2; b = 3;\n"
     assert config.read_entries(text) == {"a": "2", "name": "x, y"}
