@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Work, filter_rows, may_contain
+from quern.llm.common import Work, may_be_among
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -119,8 +119,8 @@ def exact_dedup(
 
     # Full bytes of every hit against the retained row's.
     hits = state.where("n > 1")
-    seen = may_contain(base.drop("locator", "row").withColumn("digest", digest(F.col("text"))), F.col("digest"), filter_rows(hits, "digest"))
-    seen = seen.withColumn("n_bytes", F.octet_length("text").cast("int"))
+    seen = may_be_among(base.select("doc_id", "text"), digest(F.col("text")), hits, "digest")
+    seen = seen.withColumn("digest", digest(F.col("text"))).withColumn("n_bytes", F.octet_length("text").cast("int"))
     parts = F.expr(f"cast(ceil(n / {limit}) as int)")
     kept_text = (
         seen.withColumnRenamed("text", "keep_text")

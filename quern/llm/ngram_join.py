@@ -1,43 +1,48 @@
 """Similarity join of documents by the Jaccard index of their word n-gram sets.
 
-The universe of shingles is partitioned by hash.  By the pigeonhole principle two
-sets that reach the threshold agree on at least one segment among the first
-``l - ceil(t * l) + 1`` of either in a common order, so only those are indexed.
-The cost-based allocation orders segments by the estimated length of their
-postings (from a count sketch) and skips the costly ones (allowance -1).  At a
-threshold of 0.6 pigeonhole asks for about two segments per three shingles, and
-the cost model therefore always picks the finest partition, one shingle per
-segment, for which one-deletion neighbourhoods are empty and the bound above is
-tighter than for segments of several shingles; README gives the figures.  Size
-bands and positions prune what meets in a segment, and every candidate is then
+The universe of shingles is partitioned by hash, and each set is indexed by the
+segments it has.  The allocation is by cost, from posting lengths that are counted
+exactly: a segment that only one set has can match nothing, so its difference is
+booked in advance (allowance for free), and a set with more than ``(1 - t) * l``
+such segments leaves before any pair is formed.  Of what stays, the cheapest
+``m - ceil(t * l) + 1`` segments are indexed (allowance 0) and the others skipped
+(allowance -1): by the pigeonhole principle two sets that reach the threshold meet
+in one of them.  Segments are of one shingle each, for which the one-deletion
+neighbourhood is empty; README has the measured size of the coarser partitions.
+Sizes and positions prune what meets in a segment, and every candidate is then
 verified on the whole sets.
 
 Sets that are equal are one class from the start, so copies never meet.  A class
 is known by the 64-bit hash of its sorted set; should two different sets get the
 same (a second hash tells), the run starts again with another seed.  Shingles are
-held as 59-bit hashes.
+held as 58-bit hashes.
 
 Defined results: a null or wordless text has an empty set, n_similar 0 and its own
 id as component; a text of one word has that word as its only shingle; rows that
 repeat are linked as any others; an empty table gives an empty result.  Extra
 columns aren't read.
 
-Everything here is DataFrame operations.  The self-join of postings is a
-sort-merge join, whose skewed partitions adaptive execution splits.
+Everything here is DataFrame operations.  Shingles that a sample sees often never
+go through the count by shingle (at most HOT_SHINGLES of them, so no other one holds
+more than that share of all rows); long posting lists are joined as a grid of parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Work, filter_rows, may_contain, without
+from quern.llm.common import Work, among, without
 
-#: Cells of the cost sketch, and the share of documents (one in so many) it is estimated on.
-#: It only sets the order in which segments are tried; results don't depend on it.
-COST_CELLS, COST_SAMPLE = 1 << 18, 16
+#: Frequent shingles are found on one document in so many, and at most so many are taken (a table of 4 MB).
+#: Results don't depend on either.
+COST_SAMPLE, HOT_SHINGLES = 16, 1 << 18
+#: A shingle's hash has so many bits; log2 of its posting length stands above them.
+HASH_BITS = 58
+#: Posting lists of 2 ** GRID_CLASS sets and more are split into a grid.
+GRID_CLASS = 12
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,8 +57,8 @@ def word_array(text: Column) -> Column:
 
 
 def shingle_hashes(words: Column, n: int, seed: int) -> Column:
-    """59-bit hashes of the distinct n-word shingles; of all words as one if there are fewer than n."""
-    cut = lambda h: F.shiftrightunsigned(h, 5)
+    """58-bit hashes of the distinct n-word shingles; of all words as one if there are fewer than n."""
+    cut = lambda h: F.shiftrightunsigned(h, 64 - HASH_BITS)
     whole = F.array(cut(F.xxhash64(F.lit(seed), F.concat_ws(" ", words))))
     grams: Column = words
     for k in range(1, n):
@@ -66,16 +71,17 @@ def shingle_hashes(words: Column, n: int, seed: int) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).when(F.size(words) < n, whole).otherwise(hashes)
 
 
-def _costs(sample: DataFrame) -> list[int]:
-    """log2 of the highest count in each cell, 4 bits a cell and 16 cells a number."""
+def _hot(work: Work, sample: DataFrame) -> tuple[Column, int]:
+    """A scalar array of cells, each with the hash and log2 of the posting length of the most frequent shingle there."""
     counts = sample.select(F.explode_outer("hashes").alias("h")).groupBy("h").count().where("count > 1 and h is not null")
-    cost = F.least(F.lit(15), F.ceil(F.log2("count"))).cast("long")
-    cells = counts.groupBy((F.col("h") % COST_CELLS).alias("cell")).agg(F.max(cost).alias("cost"))
-    word = F.expr("bit_or(shiftleft(cost, cast(4 * (cell % 16) as int)))")
-    out = [0] * (COST_CELLS // 16)
-    for at, bits in cells.groupBy(F.expr("cast(cell div 16 as int)").alias("at")).agg(word.alias("bits")).collect():  # COST_CELLS / 16 rows at most
-        out[at] = bits
-    return out
+    counts = work.save(counts, "counts")
+    cells = min(2 * HOT_SHINGLES, 1 << max(4, (2 * counts.count()).bit_length()))
+    cost = F.least(F.lit(31), F.floor(F.log2(F.col("count") * COST_SAMPLE))).cast("long")
+    known = counts.select(F.col("h").bitwiseAND(cells - 1).alias("id"), F.struct("count", F.shiftleft("h", 5).bitwiseOR(cost).alias("v")).alias("v"))
+    known = known.groupBy("id").agg(F.max("v").alias("v"))
+    every = work.spark.range(cells).join(known, "id", "left").select("id", F.coalesce("v.v", F.lit(0)).cast("long").alias("v"))
+    table = every.agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("all")).select(F.transform("all", lambda x: x["v"]).alias("cells"))
+    return work.save(table, "hot").scalar(), cells
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -135,97 +141,132 @@ def _linked(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, n:
     keyed = _keyed(docs, text_col, id_col)
     for seed in range(42, 50):
         work = Work(spark, "ngram_join")
-        ranked = _ranked(keyed, n, seed)
-        table = work.save(
-            keyed.select("doc_id", "key", ranked.alias("tokens")).select(
-                "doc_id", "key", F.size("tokens").alias("l"), F.xxhash64("tokens").alias("class_id"), F.xxhash64(F.lit(7), "tokens").alias("check")
-            ),
-            "sets",
-        )
+        split = _split(work, keyed, n, seed)
+        sets = work.save(split(keyed).select("doc_id", "key", "l", "class_id", "check", "hot"), "sets")
+        table = sets.select("doc_id", "key", "l", "class_id")
         classes = work.save(
-            table.where("l > 0").groupBy("class_id").agg(
+            sets.where("l > 0").groupBy("class_id").agg(
                 F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("rep"), F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n_class"),
                 F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("l").alias("l"), F.min("l").alias("l0"),
             ),
             "classes",
         )
         if not classes.where("c0 != c1 or l != l0").take(1):
-            break
+            live = _live(work, keyed, split, sets, classes, percent)
+            return work, table, classes, _links(work, live, percent)
         work.drop("sets", "classes")
-    return work, table, classes, _links(work, keyed, ranked, table, classes, percent)
+    raise RuntimeError("eight hash functions in turn gave different sets the same hash")
 
 
-def _ranked(keyed: DataFrame, n: int, seed: int) -> Column:
-    """The set with each token's cost in its upper bits, so that ascending order is cheapest first."""
-    sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(COST_SAMPLE)) == 0)
-    costs = _costs(sample.select(_hashes(n, seed).alias("hashes")))
-    table = F.expr(f"cast(split('{','.join(map(str, costs))}', ',') as array<bigint>)")
-    last = COST_CELLS - 1
+def _split(work: Work, keyed: DataFrame, n: int, seed: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives rows of ``keyed`` the columns l, class_id, check, hot and light.
 
-    def cost(h: Column) -> Column:
-        word = F.element_at(table, (F.shiftright(h.bitwiseAND(last), 4) + 1).cast("int"))
-        return F.call_function("shiftrightunsigned", word, (h.bitwiseAND(15) * 4).cast("int")).bitwiseAND(15)
+    ``light`` are the hashes of the set's shingles but for the known frequent ones, which are in ``hot`` with the
+    log2 of their posting length in front.
+    """
+    sample = keyed.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(COST_SAMPLE)) == 0)
+    table, cells = _hot(work, sample.select(_hashes(n, seed).alias("hashes")))
+
+    shifted = F.array(*(F.lit(k << HASH_BITS) for k in range(32)), F.lit(0).cast("long"))
+
+    def ranked(h: Column) -> Column:
+        cell = F.element_at("q_hot", (h.bitwiseAND(cells - 1) + 1).cast("int"))
+        other = F.least(cell.bitwiseXOR(F.shiftleft(h, 5)), F.lit(32))  # the cost class; 32 where the cell is another's
+        return F.element_at(shifted, (other + 1).cast("int")).bitwiseOR(h)
+
+    def split(rows: DataFrame) -> DataFrame:
+        # The optimizer moves the scalar into the expression, so it never is a column of any row.
+        tokens = F.sort_array(F.transform(_hashes(n, seed), ranked))
+        sets = rows.withColumn("q_hot", table).select("doc_id", "key", tokens.alias("tokens"))
+        bare = 1 << HASH_BITS
+        return sets.select(
+            "doc_id", "key", F.size("tokens").alias("l"), F.xxhash64("tokens").alias("class_id"), F.xxhash64(F.lit(7), "tokens").alias("check"),
+            F.filter("tokens", lambda t: t >= bare).alias("hot"), F.filter("tokens", lambda t: t < bare).alias("light"),
+        )
 
-    return F.sort_array(F.transform(_hashes(n, seed), lambda h: F.shiftleft(cost(h), 59).bitwiseOR(h)))
+    return split
 
 
-def _links(work: Work, keyed: DataFrame, ranked: Column, table: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes, a < b, that reach the threshold."""
-    # One document stands for its class: the others (few) are taken out by their keys.
-    reps = classes.select("class_id", F.col("rep.key").alias("key"))
-    copies = table.where("l > 0").select("class_id", "key").join(classes.where("n_class > 1").select("class_id", F.col("rep.key").alias("rep_key")), "class_id")
-    copies = work.save(copies.where("key != rep_key").select("key").distinct(), "copies")
-    sets = without(keyed, "key", copies).select(ranked.alias("tokens"))
-    prefix = F.expr(f"l - cast(ceil({percent} * l / 100) as int) + 1")
-    heads = sets.select(F.xxhash64("tokens").alias("class_id"), F.size("tokens").alias("l"), "tokens").select(
-        "class_id", "l", F.posexplode_outer(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token")
-    )  # outer: else a filter on the array is inferred, which computes it twice
-    heads = heads.repartition("token")  # one exchange, read by both sides
-    a, b = (heads.select("token", *(F.col(c).alias(x + c[0]) for c in ("class_id", "l", "pos"))) for x in ("a", "b"))
+def _live(work: Work, keyed: DataFrame, split: Callable[[DataFrame], DataFrame], sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(class_id, l, tokens): of each class that can have a partner, the shingles that another class may have too, rarest first."""
+    # One document stands for its class: the others are taken out by their keys.
+    many = classes.where("n_class > 1").select("class_id", F.col("rep.key").alias("rep_key"))
+    copies = work.save(sets.where("l > 0").select("class_id", "key").join(many, "class_id").where("key != rep_key").select("key").distinct(), "copies")
+    rows = split(without(keyed, F.col("key"), copies, "key")).select("class_id", F.explode_outer("light").alias("h")).where("h is not null")
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
+    token = F.shiftleft(F.floor(F.log2("n")).cast("long"), HASH_BITS).bitwiseOR(F.col("h"))
+    light = work.save(counted.select("class_id", token.alias("token")).groupBy("class_id").agg(F.collect_set("token").alias("light")), "light")
+    enough = f"100 * size(tokens) >= {percent} * l"
+    own = without(sets.where("l > 0").select("class_id", "l", "hot", "key"), F.col("key"), copies, "key").drop("key")
+    own = own.dropDuplicates(["class_id"])  # rows that repeat with their identifier
+    both = own.join(light, "class_id", "left").select("class_id", "l", F.sort_array(F.concat("hot", F.coalesce("light", F.array().cast("array<bigint>")))).alias("tokens"))
+    live = work.save(both.where(enough), "live")
+    work.drop("light", "copies", "hot", "counts")
+    return live
+
+
+def _heads(live: DataFrame, percent: int) -> DataFrame:
+    """(token, class_id, l, m, pos, prev): the segments that a set is indexed by, each with the one before it; m is the set's live size."""
+    prefix = F.expr(f"slice(tokens, 1, size(tokens) - cast(ceil({percent} * l / 100) as int) + 1)")
+    rows = live.select("class_id", "l", "tokens", F.posexplode(prefix).alias("pos", "token"))
+    return rows.select("token", "class_id", "l", (F.size("tokens") - F.col("pos")).alias("rest"), F.when(F.col("pos") > 0, F.expr("tokens[pos - 1]")).alias("prev"))
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """Pairs that meet in a posting list and whose sizes and positions allow the threshold.
+
+    A pair is passed over where both have the same segment before, as it meets there already.  So it is
+    enough to ask whether it can reach the threshold with this as the first common one.
+    """
+    a, b = (x.select(*on, F.col("class_id").alias(f"{s}c"), F.col("l").alias(f"{s}l"), F.col("rest").alias(f"{s}r"), F.col("prev").alias(f"{s}p")) for x, s in ((a, "a"), (b, "b")))
     need = f"cast(ceil({percent} * (al + bl) / {100 + percent}) as int)"  # of the intersection
-    met = a.join(b, "token").where("ac < bc").where(f"100 * least(al, bl) >= {percent} * greatest(al, bl)").where(
-        f"1 + least(al - ap - 1, bl - bp - 1) + least(ap, bp) >= {need}"
-    )
-    # Of the set whose head ends first in the order, what its head doesn't share isn't shared at all.
-    pairs = met.groupBy("ac", "bc", "al", "bl").agg(F.count(F.lit(1)).alias("c"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
-    rest = " , ".join(f"{x}l - ({x}l - cast(ceil({percent} * {x}l / 100) as int) + 1)" for x in "ab")
-    pairs = pairs.where(f"c + greatest({rest}) >= {need}").where(f"c + least(al - ap - 1, bl - bp - 1) >= {need}")
-    pairs = work.save(pairs.select("ac", "bc", "al", "bl"), "pairs")
-    links = work.save(_verified(work, keyed, ranked, reps, pairs, percent), "links")
-    work.drop("pairs", "copies", "chunks", "cells")
+    return a.join(b, on).where(f"100 * least(al, bl) >= {percent} * greatest(al, bl) and least(ar, br) >= {need}").where("ap is null or bp is null or ap != bp")
+
+
+def _links(work: Work, live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes, a < b, that reach the threshold."""
+    heads = _heads(live, percent)
+    is_long = F.shiftright("token", HASH_BITS) >= GRID_CLASS
+    short = heads.where(~is_long)  # one exchange, read by both sides
+    met = _met(short, short, ["token"], percent).where("ac < bc").select("ac", "bc", "al", "bl")
+    # Long posting lists: a grid, in whose cell (i, j) the parts i <= j of the list meet.
+    side = F.expr(f"cast(shiftleft(1, cast(shiftright(token, {HASH_BITS}) as int) - {GRID_CLASS - 1}) as int)")
+    long = heads.where(is_long).withColumn("side", side).withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("side")).cast("int"))
+    left = long.select(*heads.columns, F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("side") - 1)).alias("j"))
+    right = long.select(*heads.columns, F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"))
+    grid = _met(left, right, ["token", "i", "j"], percent).where("ac != bc and (i < j or ac < bc)")
+    first = F.col("ac") < F.col("bc")
+    grid = grid.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("ac", "bc"), ("bc", "ac"), ("al", "bl"), ("bl", "al"))))
+    pairs = work.save(met.unionByName(grid).distinct(), "pairs")
+    links = work.save(_verified(work, live, pairs, percent), "links")
+    work.drop("pairs", "live", "chunks", "cells")
     return links
 
 
-#: Tokens that a chunk of documents holds on average; two chunks meet in one cell.
-CHUNK_TOKENS = 16_384
+#: Tokens that a chunk of documents holds on average (1 MB); two chunks meet in one cell.  A set counts for so many at least.
+CHUNK_TOKENS, SET_TOKENS = 131_072, 64
 
 
-def _verified(work: Work, keyed: DataFrame, ranked: Column, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(work: Work, live: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Candidates whose whole sets reach the threshold.
 
     Documents with a common smallest candidate form a block, cut into chunks of bounded size.  A set goes
-    once to each cell (pair of chunks) in which it has a candidate, not once per candidate.
+    once to each cell (pair of chunks) in which it has a candidate, not once per candidate; the candidates
+    of a cell are read as a stream beside its sets.
     """
     ends = pairs.select(F.col("ac").alias("v"), F.col("al").alias("l"), F.col("bc").alias("u")).union(pairs.select("bc", "bl", "ac"))
     nodes = ends.groupBy("v").agg(F.first("l").alias("l"), F.least(F.min("u"), F.col("v")).alias("block"))
-    sizes = nodes.groupBy("block").agg(F.ceil(F.sum("l") / CHUNK_TOKENS).cast("int").alias("parts"))
+    sizes = nodes.groupBy("block").agg(F.ceil(F.sum(F.greatest("l", F.lit(SET_TOKENS))) / CHUNK_TOKENS).cast("int").alias("parts"))
     chunk = F.xxhash64("block", F.pmod(F.xxhash64("v"), F.col("parts")))
     chunks = work.save(nodes.join(sizes, "block").select("v", chunk.alias("chunk")), "chunks")
     placed = pairs.join(chunks.select(F.col("v").alias("ac"), F.col("chunk").alias("ak")), "ac").join(chunks.select(F.col("v").alias("bc"), F.col("chunk").alias("bk")), "bc")
     placed = work.save(placed.select(F.xxhash64(F.least("ak", "bk"), F.greatest("ak", "bk")).alias("cell"), "ac", "bc", "al", "bl"), "cells")
     members = placed.select("cell", F.col("ac").alias("class_id")).union(placed.select("cell", "bc")).distinct()
-    wanted = reps.join(chunks.select(F.col("v").alias("class_id")), "class_id", "left_semi")
-    some = may_contain(keyed, F.col("key"), filter_rows(wanted, "key")).select(ranked.alias("tokens"))
-    some = some.select(F.xxhash64("tokens").alias("class_id"), "tokens").groupBy("class_id").agg(F.first("tokens").alias("tokens"))
+    some = among(live.select("class_id", "tokens"), F.col("class_id"), chunks, "v")
     held = members.join(some, "class_id").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "tokens"))).alias("sets"))
-    asked = placed.groupBy("cell").agg(F.collect_list(F.struct("ac", "bc", "al", "bl")).alias("asked"))
-    both = asked.join(held, "cell").select(
-        F.explode(
-            F.transform("asked", lambda p: F.struct(p["ac"].alias("a"), p["bc"].alias("b"), (p["al"] + p["bl"]).alias("t"),
-                                                    F.size(F.array_intersect(F.element_at("sets", p["ac"]), F.element_at("sets", p["bc"]))).alias("i")))
-        ).alias("p")
-    )
-    return both.select("p.*").where(f"100 * i >= {percent} * (t - i)").select("a", "b")
+    same = F.size(F.array_intersect(F.element_at("sets", F.col("ac")), F.element_at("sets", F.col("bc"))))
+    both = placed.join(held, "cell").select(F.col("ac").alias("a"), F.col("bc").alias("b"), (F.col("al") + F.col("bl")).alias("t"), same.alias("i"))
+    return both.where(f"100 * i >= {percent} * (t - i)").select("a", "b")
 
 
 def components(work: Work, links: DataFrame) -> DataFrame:

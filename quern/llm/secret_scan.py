@@ -25,7 +25,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Work, bit_set
+from quern.llm.common import Work, bit_set, quoted
 from quern.llm.ngram_join import lower_ascii
 
 BITS, FILL = 32768, 16384
@@ -183,9 +183,10 @@ def build_index(work: Work, docs: DataFrame, trigrams: list[str], segments: int)
 
 
 def scan_secrets(
-    spark: SparkSession, docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    spark: SparkSession, docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+    found_col: str = "found",
 ) -> DataFrame:
-    """The columns ``keep`` of every row and ``found``: array of (s, k, e), k the rule's index, sorted."""
+    """The columns ``keep`` of every row and ``found_col``: array of (s, k, e), k the rule's index, sorted."""
     work = Work(spark, "secret_scan")
     queries = {k: trigram_query(r.regex) for k, r in enumerate(rules)}
     trigrams = sorted({t for q in queries.values() for term in q for t in term})
@@ -193,7 +194,7 @@ def scan_secrets(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     place = F.xxhash64(text)
     placed = docs.select(
-        *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), text.alias("text"), F.pmod(place, F.lit(segments)).alias("segment"),
+        *(quoted(c).alias(f"keep_{i}") for i, c in enumerate(keep)), text.alias("text"), F.pmod(place, F.lit(segments)).alias("segment"),
         F.pmod(F.expr(f"shiftright(xxhash64(3, coalesce(cast(`{text_col}` as string), '')), 8)"), F.lit(BITS)).alias("bit"),
     )
     indexed = [k for k, q in queries.items() if q]
@@ -219,7 +220,7 @@ def scan_secrets(
         hits = F.when(maybe, spans(F.col("text"), rule)).otherwise(none)
         parts.append(_labelled(hits, k))
     found = F.array_sort(F.concat(*parts))
-    return placed.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), found.alias("found"))
+    return placed.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), found.alias(found_col))
 
 
 def describe(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quern.llm import html_extract, lang_id, license_scan, packing, quality_classifier, quality_rules, registry
 from quern.llm.bpe import Encoder, cuts
-from quern.llm.common import filter_rows, may_contain, without
+from quern.llm.common import among, may_be_among, one_per_key, without
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.ngram_join import ngram_jaccard_join
 from quern.llm.secret_scan import RULES, describe, redact, scan_secrets, trigram_query
@@ -275,11 +275,16 @@ def test_html_decoding_has_no_contradictions():
     assert all(kept[place[id(n.up)]] for n, k in zip(nodes, kept) if k and n.up is not None) and kept == [True, False, False, False, True, True, True]
 
 
-def test_membership_filter_loses_nothing(spark):
-    df = spark.range(5000).withColumn("k", F.col("id"))
-    keys = df.where("id % 7 = 0").select("k")
-    assert may_contain(df, F.col("k"), filter_rows(keys, "k")).where("id % 7 = 0").count() == keys.count()
-    assert without(df, "k", keys).count() == 5000 - keys.count()
+def test_membership_filter_loses_nothing(spark, monkeypatch):
+    rows = spark.range(50_000).selectExpr("id", "'é' || id as q_row", "id as q_maybe")
+    some = spark.range(0, 50_000, 7).withColumnRenamed("id", "k")
+    for most in (1 << 27, 1 << 10):  # with a filter, and with too many keys for one
+        monkeypatch.setattr("quern.llm.common.MOST_BITS", most)
+        kept = among(rows, F.col("id"), some, "k")
+        assert kept.count() == some.count() and kept.columns == rows.columns
+        assert may_be_among(rows, F.col("id"), some, "k").join(some, F.col("id") == F.col("k")).count() == some.count()
+        assert without(rows, F.col("id"), some, "k").count() == 50_000 - some.count()
+    assert one_per_key(rows, F.col("id") % 10).count() == 10
 
 
 def test_pipeline(spark):
