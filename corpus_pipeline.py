@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Work, filter_rows, may_contain, text_of, without
+from quern.llm.common import Work, among, free_name, one_per_key, quoted, without
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.ngram_join import content_key, surplus_rows
 from quern.llm.packing import pack
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject (score >= 0.5)."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keep = [(f"c{i}", t) for i, (_, t) in enumerate(docs.dtypes)]
-    plain = docs.select(*(F.col(c).alias(k) for c, (k, _) in zip(docs.columns, keep)), F.col("text").alias("whole_text"))
+    plain = docs.select(*(quoted(c).alias(k) for c, (k, _) in zip(docs.columns, keep)), F.col("text").alias("whole_text"))
     scored = with_statistics(plain, text_col="whole_text", keep=tuple(keep)).where(model.column() >= 0.5)
     return scored.select(*(F.col(k).alias(c) for c, (k, _) in zip(docs.columns, keep)))
 
@@ -35,13 +35,12 @@ def one_of_each(docs: DataFrame, key: Column, surplus: DataFrame) -> DataFrame:
 
     The key comes from the row's content, so it is the same however a read is split.
     """
-    rows = docs.withColumn("row_key", key)
-    out = without(rows, "row_key", surplus)
+    out = without(docs, key, surplus, "row_key")
     again = surplus.where("kept")  # rows that repeat with their identifier
     if again.take(1):
-        again = may_contain(rows, F.col("row_key"), filter_rows(again, "row_key")).join(again.select("row_key"), "row_key", "left_semi")
-        out = out.unionByName(again.dropDuplicates(["row_key"]).select(*rows.columns))
-    return out.select(*docs.columns)
+        repeated = among(docs, key, again, "row_key")
+        out = out.unionByName(one_per_key(repeated, key))
+    return out.select(*(quoted(c) for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = exact_dedup(spark, docs).where("group_size > 1").groupBy(name(F.col("text_sha256")).alias("row_key"))
     surplus = found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1").select("row_key", "kept")
     surplus = Work(spark, "pipeline_exact").save(surplus, "surplus")
-    return one_of_each(docs, name(F.sha2(text_of(docs).cast("binary"), 256)), surplus)
+    return one_of_each(docs, name(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)), surplus)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,13 +59,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced; n_chars follows."""
-    found = scan_secrets(spark, docs, keep=(*docs.columns,))
-    some = F.size("found") > 0
-    text = F.when(some, redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    name = free_name(docs, "found")
+    out = scan_secrets(spark, docs, keep=(*docs.columns,), found_col=name)
+    some = F.size(name) > 0
+    out = out.withColumn("text", F.when(some, redact(F.col("text"), F.col(name))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(quoted(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
