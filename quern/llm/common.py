@@ -16,9 +16,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The membership filter has 16 bits a key, within these bounds (16 MB, so it may be broadcast).  Beyond
-#: the larger one a filter tells little, and the join is done without it.
-LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27
+#: The membership filter has 128 bits a key, within these bounds (16 MB, so it may be broadcast).  Where the larger
+#: bound leaves less than 8 bits a key a filter tells little, and the join is done without it.
+KEY_BITS, LEAST_BITS, MOST_BITS = (8, 128), 1 << 15, 1 << 27
 _SEGMENT = 32768
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -68,8 +68,8 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
 
 def filter_bits(keys: DataFrame) -> int:
     """Bits for the filter of ``keys``, a power of two; 0 if there are too many keys for one."""
-    n = 16 * keys.count()
-    return 0 if n > 2 * MOST_BITS else min(MOST_BITS, max(LEAST_BITS, 1 << max(0, n - 1).bit_length()))
+    n = keys.count()
+    return 0 if KEY_BITS[0] * n > MOST_BITS else min(MOST_BITS, max(LEAST_BITS, 1 << max(0, KEY_BITS[1] * n - 1).bit_length()))
 
 
 def filter_rows(keys: DataFrame, key: Column | str, bits: int) -> DataFrame:

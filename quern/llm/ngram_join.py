@@ -34,7 +34,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Work, among, without
+from quern.llm.common import Work, may_be_among, without
 
 #: Frequent shingles are found on one document in so many, and at most so many are taken (a table of 4 MB).
 #: Results don't depend on either.
@@ -195,21 +195,25 @@ def _live(work: Work, keyed: DataFrame, split: Callable[[DataFrame], DataFrame],
     rows = split(without(keyed, F.col("key"), copies, "key")).select("class_id", F.explode_outer("light").alias("h")).where("h is not null")
     counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
     token = F.shiftleft(F.floor(F.log2("n")).cast("long"), HASH_BITS).bitwiseOR(F.col("h"))
-    light = work.save(counted.select("class_id", token.alias("token")).groupBy("class_id").agg(F.collect_set("token").alias("light")), "light")
-    enough = f"100 * size(tokens) >= {percent} * l"
-    own = without(sets.where("l > 0").select("class_id", "l", "hot", "key"), F.col("key"), copies, "key").drop("key")
-    own = own.dropDuplicates(["class_id"])  # rows that repeat with their identifier
-    both = own.join(light, "class_id", "left").select("class_id", "l", F.sort_array(F.concat("hot", F.coalesce("light", F.array().cast("array<bigint>")))).alias("tokens"))
-    live = work.save(both.where(enough), "live")
+    light = work.save(counted.select("class_id", token.alias("token")).sortWithinPartitions("class_id"), "light")
+    own = without(sets.where("l > 0").select("class_id", "l", "hot", "key"), F.col("key"), copies, "key")
+    # One exchange for both; rows that repeat with their identifier give the same hot shingles again.
+    both = own.select("class_id", F.lit(None).cast("bigint").alias("token"), "hot", "l").unionByName(light.select("class_id", "token"), allowMissingColumns=True)
+    both = both.groupBy("class_id").agg(F.max("l").alias("l"), F.max("hot").alias("hot"), F.collect_set("token").alias("light"))
+    both = both.select("class_id", "l", F.sort_array(F.concat("hot", "light")).alias("tokens"))
+    live = work.save(both.where(f"100 * size(tokens) >= {percent} * l"), "live")
     work.drop("light", "copies", "hot", "counts")
     return live
 
 
 def _heads(live: DataFrame, percent: int) -> DataFrame:
-    """(token, class_id, l, m, pos, prev): the segments that a set is indexed by, each with the one before it; m is the set's live size."""
+    """(token, class_id, l, rest, prev): the segments that a set is indexed by, with how many live ones follow, itself included.
+
+    ``prev`` is the segment before it; short postings go without, as little is saved there.
+    """
     prefix = F.expr(f"slice(tokens, 1, size(tokens) - cast(ceil({percent} * l / 100) as int) + 1)")
     rows = live.select("class_id", "l", "tokens", F.posexplode(prefix).alias("pos", "token"))
-    return rows.select("token", "class_id", "l", (F.size("tokens") - F.col("pos")).alias("rest"), F.when(F.col("pos") > 0, F.expr("tokens[pos - 1]")).alias("prev"))
+    return rows.select("token", "class_id", "l", (F.size("tokens") - F.col("pos")).alias("rest"), F.expr(f"if(pos > 0 and shiftright(token, {HASH_BITS}) > 1, tokens[pos - 1], null)").alias("prev"))
 
 
 def _met(a: DataFrame, b: DataFrame, on: list[str], percent: int) -> DataFrame:
@@ -243,8 +247,8 @@ def _links(work: Work, live: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-#: Tokens that a chunk of documents holds on average (1 MB); two chunks meet in one cell.  A set counts for so many at least.
-CHUNK_TOKENS, SET_TOKENS = 131_072, 64
+#: Tokens that a chunk of documents holds on average (2 MB); two chunks meet in one cell.  A set counts for so many at least.
+CHUNK_TOKENS, SET_TOKENS = 262_144, 64
 
 
 def _verified(work: Work, live: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -262,7 +266,7 @@ def _verified(work: Work, live: DataFrame, pairs: DataFrame, percent: int) -> Da
     placed = pairs.join(chunks.select(F.col("v").alias("ac"), F.col("chunk").alias("ak")), "ac").join(chunks.select(F.col("v").alias("bc"), F.col("chunk").alias("bk")), "bc")
     placed = work.save(placed.select(F.xxhash64(F.least("ak", "bk"), F.greatest("ak", "bk")).alias("cell"), "ac", "bc", "al", "bl"), "cells")
     members = placed.select("cell", F.col("ac").alias("class_id")).union(placed.select("cell", "bc")).distinct()
-    some = among(live.select("class_id", "tokens"), F.col("class_id"), chunks, "v")
+    some = may_be_among(live.select("class_id", "tokens"), F.col("class_id"), chunks, "v")
     held = members.join(some, "class_id").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "tokens"))).alias("sets"))
     same = F.size(F.array_intersect(F.element_at("sets", F.col("ac")), F.element_at("sets", F.col("bc"))))
     both = placed.join(held, "cell").select(F.col("ac").alias("a"), F.col("bc").alias("b"), (F.col("al") + F.col("bl")).alias("t"), same.alias("i"))
