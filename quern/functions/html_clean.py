@@ -21,17 +21,20 @@ class Element:
         self.kids: list[Element | str] = []
 
     def strings(self) -> Iterator[str]:
-        for k in self.kids:
+        todo = self.kids[::-1]
+        while todo:
+            k = todo.pop()
             if isinstance(k, str):
                 yield k
             elif k.name not in SILENT:
-                yield from k.strings()
+                todo += k.kids[::-1]
 
     def walk(self) -> Iterator[Element]:
-        for k in list(self.kids):
-            if isinstance(k, Element):
-                yield k
-                yield from k.walk()
+        todo = [k for k in reversed(self.kids) if isinstance(k, Element)]
+        while todo:
+            k = todo.pop()
+            yield k
+            todo += [x for x in reversed(k.kids) if isinstance(x, Element)]
 
     def text(self, sep: str = "", strip: bool = False) -> str:
         parts = [s.strip() for s in self.strings()] if strip else list(self.strings())

@@ -18,6 +18,7 @@ from quern.operators import frontier, scoring, sessions, stats, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+QUERIES_RAW: dict[str, Callable] = {}
 Tables = Callable[[str], DataFrame]
 
 
@@ -26,6 +27,7 @@ def query(sql: str | None = None) -> Callable:
 
     def wrap(f: Callable[[SparkSession, Tables], DataFrame]) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES_RAW[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -373,10 +375,15 @@ def categorize_pages(spark, t):
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % 500 AS dst FROM orders), r(url) AS (SELECT 1::BIGINT UNION SELECT dst FROM e JOIN r ON src = url) SELECT url FROM r""")
 def frontier_fixpoint(spark, t):
+    import re
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that every executor shares")
+        base = tempfile.gettempdir()
     folder = f"{base.rstrip('/')}/fixpoint-{uuid.uuid4().hex}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
@@ -386,3 +393,68 @@ def frontier_fixpoint(spark, t):
     edges = save(t("orders").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 500).alias("dst")).distinct(), "edges")
     roots = spark.range(1, 2).select(F.col("id").alias("url"))
     return frontier.reachable(edges, roots, save).select("url")
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, min(value) AS least, max(value) AS most, count(*) - count(value) AS missing FROM events GROUP BY 1")
+def describe_values(spark, t):
+    return t("events").groupBy("event_type").agg(
+        F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"), F.min("value").alias("least"),
+        F.max("value").alias("most"), (F.count(F.lit(1)) - F.count("value")).alias("missing"),
+    )
+
+
+@query("SELECT min(n) AS least_group FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)")
+def least_group(spark, t):
+    return t("events").groupBy("user_id", "event_type").count().agg(F.min("count").alias("least_group"))
+
+
+@query("SELECT source, list(doc_id ORDER BY doc_id)::VARCHAR AS doc_ids FROM documents WHERE n_chars < 300 GROUP BY 1")
+def grouped_lists(spark, t):
+    ids = F.sort_array(F.collect_list("doc_id"))
+    return t("documents").where("n_chars < 300").groupBy("source").agg(F.concat(F.lit("["), F.concat_ws(", ", ids.cast("array<string>")), F.lit("]")).alias("doc_ids"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := abs(o_totalprice - 150000), k := o_orderkey)) AS farthest FROM orders GROUP BY 1")
+def farthest_order(spark, t):
+    return t("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct(F.abs(F.col("o_totalprice") - 150000), "o_orderkey")).alias("farthest"))
+
+
+@query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
+def labelled_documents(spark, t):
+    return t("documents").select("doc_id", "lang").join(t("labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query(f"""WITH {_N}, p AS (SELECT user_id, round, count(*) FILTER (event_type = 'click') AS cat_click, count(*) FILTER (event_type = 'error') AS cat_error, count(*) FILTER (event_type = 'view') AS cat_view
+FROM n WHERE round > 0 AND event_type IN ('view', 'click', 'error') GROUP BY 1, 2) SELECT user_id, round, cat_click + cat_view AS relevant, cat_error AS irrelevant FROM p""")
+def relevant_columns(spark, t):
+    p = QUERIES_RAW["round_category_pivot"](spark, t)
+    chosen = [c for c in p.columns if c.startswith("cat_")]
+    total = lambda names: sum((F.col(c) for c in names), F.lit(0)).cast("long")
+    return p.select("user_id", "round", total(c for c in chosen if c != "cat_error").alias("relevant"), total(c for c in chosen if c == "cat_error").alias("irrelevant"))
+
+
+@query("SELECT coalesce(nullif(source, ''), '(uncategorized)') AS category, count(*) AS n FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
+def category_or_none(spark, t):
+    return t("documents").groupBy(F.coalesce(F.nullif("source", F.lit("")), F.lit("(uncategorized)")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s.r_regionkey AS sample, c.condition, i.repeat FROM region s, (VALUES ('strict'), ('lax')) c(condition), range(3) i(repeat)")
+def experiment_grid(spark, t):
+    each = F.explode(F.array(F.lit("strict"), F.lit("lax")))
+    return t("region").select(F.col("r_regionkey").alias("sample"), each.alias("condition")).withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+
+
+@query("SELECT user_id, event_id, max(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_us FROM events")
+def last_request(spark, t):
+    from quern.sources.web import last_request as last
+
+    e = t("events").select(F.col("user_id").alias("domain"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return e.select(F.col("domain").alias("user_id"), "event_id", last(e).alias("last_us"))
+
+
+@query("SELECT doc_id, url, coalesce(html, '') AS html, coalesce(html, '') <> '' AS fetch_success FROM (SELECT doc_id, 'https://site' || doc_id || '.example/' AS url FROM documents) LEFT JOIN (SELECT url, max(html) AS html FROM pages GROUP BY 1) USING (url)")
+def fetch_table(spark, t):
+    from quern.sources.web import fetch_from_table
+
+    wanted = t("documents").select("doc_id", F.concat(F.lit("https://site"), F.col("doc_id").cast("string"), F.lit(".example/")).alias("url"))
+    return fetch_from_table(wanted, t("pages")).select("doc_id", "url", "html", "fetch_success")

@@ -6,7 +6,6 @@ table of (query, response) can be searched.
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
@@ -85,6 +84,3 @@ def discover(queries: DataFrame, provider: SearchProvider, max_results: int = 10
 
     return queries.select("query").mapInPandas(run, "query string, url string, error string")
 
-
-def as_json(rows: list[dict]) -> str:
-    return json.dumps(rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.functions.html_clean import clean, links
 from quern.functions.text import wilson
@@ -75,14 +76,147 @@ def test_reachable_goes_all_the_way_unless_limited(spark):
 
 
 def test_config():
-    text = "a = 1;\n# note\nname = \"x, y\";\na = 2; b = 3;\n"
-    assert config.read_entries(text) == {"a": "2", "name": "x, y"}
+    text = "a = 1;\n# note\nname = \"x; y\";\na = 2; b = 3;\n"
+    assert config.read_entries(text) == {"a": "2", "name": "x; y"}
     with pytest.raises(config.ConfigError):
         config.parse_flag("true", "relevancy")
+    assert config.is_true("True") and not config.is_true("true") and not config.is_true(None)
     schema = config.record_schema({"e-mail": "string", "kinds": "list[animal]"}, {"animal": ["dog", "cat"]}, as_list=True)
     assert config.field_names(schema) == ["e-mail", "kinds"]
     assert config.spark_type(schema).simpleString() == "array<struct<e-mail:string,kinds:array<string>>>"
-    assert config.read_query_templates("# x\nlocation: A\n\nT in {location}\n") == (["T in {location}"], ["A"])
+
+
+CONFIG = """
+politeness = 2;
+skip_tags = nav, footer;
+redo_all_fetches = False;
+redo_failed_fetches = True;
+category_prompt = "Which one; choose";
+category_max_tokens = 9;
+category_context = 128;
+category_model_path = m;
+define kind = dog | cat;
+fields = {"name": "string", "kind": "kind"};
+categories = HOME|FARM|OTHER;
+relevancy[HOME] = True;
+prompt[HOME] = read;
+model_path[HOME] = m;
+max_tokens[HOME] = 9;
+context[HOME] = 64;
+check_linked_urls[HOME] = True;
+is_list_category[HOME] = True;
+relevancy[FARM] = True;
+prompt[FARM] = read;
+model_path[FARM] = m;
+max_tokens[FARM] = 9;
+context[FARM] = 64;
+check_linked_urls[FARM] = False;
+fields[FARM] = {"cows": "integer"};
+relevancy[OTHER] = False;
+"""
+
+
+def test_compiled_config_and_analysis(spark):
+    from quern.operators import analyze
+
+    c = config.compile_config(CONFIG)
+    assert [x.name for x in c.categories] == ["HOME", "FARM", "OTHER"] and c.batch_size == 5 and c.redo_failed and c.skip_tags == ["nav", "footer"]
+    assert config.entry_columns(c.categories) == ["name", "kind", "cows"] and c.category_prompt == "Which one; choose"
+    with pytest.raises(config.CategoryNotFoundError):
+        c.category("NONE")
+    for broken in (CONFIG.replace("politeness = 2;", ""), CONFIG.replace("relevancy[FARM] = True", "relevancy[FARM] = yes"), CONFIG.replace("= 9", "= nine")):
+        with pytest.raises(config.ConfigError):
+            config.compile_config(broken)
+    pages = spark.createDataFrame([(1, "a home\nname: Rex\nkind: dog"), (2, "some farm"), (3, ""), (4, None), (5, "else")], "id long, text string")
+    found = analyze.categorized(pages, F.col("text"), c)
+    assert {r["id"]: r["category"] for r in found.collect()} == {1: "HOME", 2: "FARM", 3: None, 4: None, 5: "OTHER"}
+    gated = analyze.with_dimension(found, spark, c)
+    assert {r["id"] for r in gated.where("is_relevant").collect()} == {1, 2} and {r["id"] for r in gated.where("process_links").collect()} == {1}
+    out = analyze.extracted(gated.where("category = 'HOME'"), F.col("text"), F.array(F.lit("http://x")), c.category("HOME")).first()
+    assert out["records"][0]["name"] == "Rex" and out["found_links"] == ["http://x"] and out["extract_error"] is None
+
+
+def test_failures_stay_with_their_item(spark):
+    from quern.operators import analyze
+    from quern.sources import search, web
+
+    class Failing:
+        def complete(self, *a, **k):
+            raise OSError("down")
+
+    failing = lambda path, context: Failing()
+    pages = spark.createDataFrame([(1, "a home")], "id long, text string")
+    row = analyze.categorized(pages, F.col("text"), config.compile_config(CONFIG), failing).first()
+    assert row["category"] is None and row["category_error"] == "OSError: down"
+
+    def get(url):
+        if url == "bad":
+            raise ValueError("no")
+        return "<p>" if url == "good" else None
+
+    rows = {r["url"]: (r["html"], r["fetch_success"], r["error"]) for r in web.fetch(spark.createDataFrame([("good",), ("bad",), ("good",), ("none",)], "url string"), get).collect()}
+    assert rows == {"good": ("<p>", True, None), "bad": ("", False, "ValueError: no"), "none": ("", False, None)}
+
+    provider = search.JsonProvider(lambda q: {"r": {"items": [{"u": q + "1"}, 7, {"u": ""}, {"u": q + "2"}]}} if q != "x" else 1 / 0, "r.items", "u")
+    found = search.discover(spark.createDataFrame([("a",), ("x",)], "query string"), provider, 4).collect()
+    assert {(r["query"], r["url"]) for r in found} == {("a", "a1"), ("a", "a2"), ("x", None)}
+
+
+def test_search_paging():
+    from quern.sources.search import PagedProvider
+
+    calls = []
+
+    def fetch(q, start, n):
+        calls.append((start, n))
+        return [{"link": f"{q}{i}"} if i % 5 else {} for i in range(start, min(start + n, 24))]
+
+    assert len(PagedProvider(fetch).search("q", 30)) == 19 and calls == [(1, 10), (11, 10), (21, 10)]
+    assert PagedProvider(fetch).search("q", 2) == ["q1", "q2"] and PagedProvider(lambda *a: []).search("q", 5) == []
+
+
+def test_json_responses(spark):
+    from quern.sources.search import response_urls
+
+    rows = ['{"a": {"b": [{"u": "1"}, {"v": 2}, 3, {"u": "4"}, {"u": "5"}]}}', '{"a": {"b": {"u": "1"}}}', '{"a": 1}', "not json", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string")
+    got = {r["i"]: r["u"] for r in df.select("i", response_urls(F.col("r"), "a.b", "u", 4).alias("u")).collect()}
+    assert got == {0: ["1", "4"], 1: [], 2: [], 3: [], 4: []}
+
+
+def test_robots(spark):
+    from quern.sources import web
+
+    robots = spark.createDataFrame([("a.example", "User-agent: *\nDisallow: /private")], "domain string, robots string")
+    urls = spark.createDataFrame([("http://a.example/x",), ("http://a.example/private/y",), ("http://b.example/private",)], "url string")
+    assert {r["url"]: r["allowed"] for r in web.with_permission(urls, robots, "bot").collect()} == {
+        "http://a.example/x": True, "http://a.example/private/y": False, "http://b.example/private": True
+    }
+    last = spark.createDataFrame([("d", 1), ("d", 4), ("e", 2)], "domain string, at long")
+    assert {(r["domain"], r["at"]): r["p"] for r in last.withColumn("p", web.last_request(last)).collect()} == {("d", 1): None, ("d", 4): 1, ("e", 2): None}
+
+
+def test_files(spark, tmp_path):
+    from quern.sources import files
+
+    (tmp_path / "t.txt").write_text("# x\nLocation:  A B \n\n\tT in {location}\u00a0\nU\n")
+    templates, places = files.read_templates(spark, str(tmp_path / "t.txt"))
+    assert [r["template"] for r in templates.orderBy("t_ord").collect()] == ["T in {location}", "U"] and [r["location"] for r in places.collect()] == ["A B"]
+    (tmp_path / "u.txt").write_text(" http://a \n\n http://b\n")
+    assert [r["url"] for r in files.read_url_list(spark, str(tmp_path / "u.txt")).orderBy("ord").collect()] == ["http://a", "http://b"]
+    files.write_csv(spark.createDataFrame([("k ", 'say "a, b"\nc'), (" ", "x"), ("m", None)], "k string, v string").coalesce(1), str(tmp_path / "csv"))
+    got = {(r["k"], r["v"]) for r in files.read_gold(spark, str(tmp_path / "csv"), ["k", "v"], "k").collect()}
+    assert got == {("k", 'say "a, b"\nc'), ("m", "")}
+    for name in ("20240101_000000.jsonl", "20250101_000000.jsonl"):
+        (tmp_path / name).write_text("{}\n")
+    assert files.latest_file(spark, f"{tmp_path}/*.jsonl").endswith("20250101_000000.jsonl") and files.latest_file(spark, f"{tmp_path}/*.none") is None
+
+
+def test_deep_page():
+    from quern.functions.html_clean import clean, links
+
+    page = "<div>" * 20_000 + "deep <a href='/x'>y</a>"
+    assert clean(page) == "deep\ny (/x)" and links(page, "http://h/") == ["http://h/x"]
 
 
 def test_wilcoxon_exact():
