@@ -52,6 +52,10 @@ def is_held_out(doc_id: int | None, folds: int = 5, fold: int = 0) -> bool:
     return zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
+#: A threshold that no score reaches: where the target can't be met, every prediction is rejected.
+NEVER = 2.0
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -120,10 +124,11 @@ def train(rows: list[tuple[bytes, str]], *, epochs: int = 6, rate: float = 0.5,
             best = min(best, (-logp[np.arange(len(y)), y].mean(), float(temp)))
         model.temperature = best[1]
         pairs = sorted(((p, k == yy) for (k, p), (_, yy) in ((model.predict(t), r) for t, r in zip((t for t, _ in held), held))), reverse=True)
-        right = 0
+        right, model.threshold = 0, NEVER
         for i, (p, ok) in enumerate(pairs, 1):
             right += ok
-            if right / i >= target:
+            tied = i < len(pairs) and pairs[i][0] == p  # a threshold can't part equal scores
+            if not tied and right / i >= target:
                 model.threshold = p
     return model
 

@@ -241,6 +241,11 @@ def test_language_id_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_id_rejects_where_the_target_cannot_be_met():
+    rows = [(b"the same words", "en" if i % 2 else "de") for i in range(400)]
+    assert lang_id.train(rows, epochs=1).threshold == lang_id.NEVER
+
+
 def test_language_id_edges(docs):
     got = {r.doc_id: r for r in lang_id.detect_language(docs.withColumn("lang", F.when(F.col("doc_id") < 8, "en").otherwise("de"))).collect()}
     assert got[3].lang_pred == got[4].lang_pred == "und" and got[3].score == 0 and got[1].lang_pred in ("en", "de")
