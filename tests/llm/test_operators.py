@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quern.llm import html_extract, lang_id, license_scan, packing, quality_classifier, quality_rules, registry
 from quern.llm.bpe import Encoder, cuts
-from quern.llm.common import among, may_be_among, one_per_key, without
+from quern.llm.common import Work, among, may_be_among, one_per_key, without
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.ngram_join import ngram_jaccard_join
 from quern.llm.secret_scan import RULES, describe, redact, scan_secrets, trigram_query
@@ -112,6 +112,25 @@ def test_ngram_chain_of_many_documents(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_ngram_sets_without_partner_are_not_regrouped(spark, monkeypatch):
+    """Of sets that must leave, no shingle goes back to its set, though two sets have it; what sets that left have is lone in the second count."""
+    own = lambda i: [f"d{i}x{k}" for k in range(12)]
+    rows = [(i, " ".join([*own(i), *(f"s{i // 2}y{k}" for k in range(8))])) for i in range(40)]  # 7 of 19 shingles are shared
+    base = [*(f"b{k}" for k in range(20)), *(f"s0y{k}" for k in range(8))]
+    rows += [(100, " ".join(base)), (101, " ".join([*base, "z"])), (102, " ".join(base).upper())]
+    saved = {}
+    save = Work.save
+    monkeypatch.setattr(Work, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    monkeypatch.setattr(Work, "drop", lambda self, *names: None)
+    got = {r.doc_id: r for r in ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i].n_similar for i in range(40)} == {0}
+    assert [(got[i].n_similar, got[i].component_id) for i in (100, 101, 102)] == [(2, 100)] * 3
+    classes = {got[100].class_id, got[101].class_id}
+    light = saved["light"].collect()
+    assert {r.class_id for r in light} == classes
+    assert len(light) == 2 * 27
+
+
 def test_pipeline_near_decides_by_row(spark):
     """Repeated ids: unlinked rows stay, and exactly one row of each linked group."""
     base = " ".join(f"a{k}" for k in range(40))
