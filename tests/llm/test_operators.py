@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import html_extract, lang_id, license_scan, packing, quality_classifier, quality_rules, registry
+from quern.llm import html_extract, lang_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, registry
 from quern.llm.bpe import Encoder, cuts
 from quern.llm.common import Work, among, may_be_among, one_per_key, without
 from quern.llm.exact_dedup import exact_dedup
@@ -131,6 +131,29 @@ def test_ngram_sets_without_partner_are_not_regrouped(spark, monkeypatch):
     assert len(light) == 2 * 27
 
 
+def test_ngram_bands_of_sizes(spark, monkeypatch):
+    """In many bands the links are those of brute force, pairs across the edges included, and no band holds all shingles."""
+    monkeypatch.setattr(ngram_join, "BAND_SHINGLES", 1)
+    monkeypatch.setattr(ngram_join, "BAND_SHARE", 0.6)
+    counted = []
+    save = Work.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name == "some":
+            counted.append(out.agg(F.sum("l")).first()[0])
+        return out
+
+    monkeypatch.setattr(Work, "save", saved)
+    rows = [(100 * b + k, " ".join(f"b{b}w{i}" for i in range(k * 3, k * 3 + int(20 * 1.2**k)))) for b in range(2) for k in range(10)]
+    sets = {i: frozenset(zip(t.split(), t.split()[1:])) for i, t in rows}
+    want = {i: sum(j != i and 100 * len(s & o) >= 60 * len(s | o) for j, o in sets.items()) for i, s in sets.items()}
+    got = {r.doc_id: r.n_similar for r in ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert len(counted) > 1
+    assert max(counted) < 0.8 * sum(map(len, sets.values()))
+
+
 def test_pipeline_near_decides_by_row(spark):
     """Repeated ids: unlinked rows stay, and exactly one row of each linked group."""
     base = " ".join(f"a{k}" for k in range(40))
