@@ -121,7 +121,7 @@ def ngram_jaccard_join(
 
     Two rows are linked when ``100 * |A & B| >= percent * |A | B|``, for non-empty sets.
     """
-    work, table, classes, links = _linked(spark, docs, text_col, id_col, n, percent)
+    work, table, classes, links = _linked(spark, docs, text_col, id_col, n, percent, every=True)
     return _answer(work, table, classes, links)
 
 
@@ -133,7 +133,7 @@ def surplus_rows(
     The one has the smallest doc_id (null is larger than any), then the smallest key.  ``kept`` marks its key
     where further rows have it too.
     """
-    work, table, classes, links = _linked(spark, docs, text_col, id_col, n, percent)
+    work, table, classes, links = _linked(spark, docs, text_col, id_col, n, percent, every=False)
     label = components(work, links).withColumnRenamed("node", "class_id")
     named = classes.select("class_id", "rep", "n_class").join(label, "class_id", "left").where("label is not null or n_class > 1")
     named = named.select("class_id", "rep", F.coalesce("label", "class_id").alias("label"))
@@ -141,12 +141,12 @@ def surplus_rows(
     named = work.save(named.join(best, "label").select("class_id", F.col("best.key").alias("best")), "best")
     rows = table.where("l > 0").join(named, "class_id").groupBy("key").agg(F.max(F.col("key") == F.col("best")).alias("kept"), F.count(F.lit(1)).alias("n"))
     out = work.save(rows.where("not kept or n > 1").select(F.col("key").alias("row_key"), "kept"), "surplus")
-    work.drop("sets", "classes", "links", "best")
+    work.drop("sets", "classes", "links_near", "links_apart", "best")
     return out
 
 
-def _linked(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> tuple[Work, DataFrame, DataFrame, DataFrame]:
-    """The run's folder, its rows, their classes, and the linked pairs of classes."""
+def _linked(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, n: int, percent: int, every: bool) -> tuple[Work, DataFrame, DataFrame, DataFrame]:
+    """The run's folder, its rows, their classes, and the linked pairs of classes; if not ``every``, enough of those for the components."""
     keyed = _keyed(docs, text_col, id_col)
     for seed in range(42, 50):
         work = Work(spark, "ngram_join")
@@ -161,7 +161,7 @@ def _linked(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str, n:
             "classes",
         )
         if not classes.where("c0 != c1 or l != l0").take(1):
-            return work, table, classes, _links(work, keyed, split, classes, percent)
+            return work, table, classes, _links(work, keyed, split, classes, percent, every)
         work.drop("sets", "classes")
     raise RuntimeError("eight hash functions in turn gave different sets the same hash")
 
@@ -280,8 +280,8 @@ def _pairs(live: DataFrame, band: tuple[int, int, int], percent: int) -> DataFra
     return met.unionByName(grid).distinct()
 
 
-def _links(work: Work, keyed: DataFrame, split: Callable[[DataFrame], DataFrame], classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes, a < b, that reach the threshold."""
+def _links(work: Work, keyed: DataFrame, split: Callable[[DataFrame], DataFrame], classes: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of classes, a < b, that reach the threshold: all of them, or if not ``every`` enough to connect what they connect."""
     pairs = work.spark.range(0).selectExpr("id as ac", "id as bc", "cast(id as int) as al", "cast(id as int) as bl")
     for k, band in enumerate(_bands(classes, percent)):
         live = _live(work, keyed, split, classes, band, percent)
@@ -293,7 +293,17 @@ def _links(work: Work, keyed: DataFrame, split: Callable[[DataFrame], DataFrame]
         work.drop("chunks", "cells", "reps")
         return out
 
-    return verified(pairs, "links")
+    if every:
+        return verified(pairs, "links")
+    # First each set with the smallest candidate; then only candidates that this hasn't connected.
+    near = work.save(pairs.groupBy("bc").agg(F.min(F.struct("ac", "al", "bl")).alias("x")).select("x.ac", "bc", "x.al", "x.bl"), "near")
+    links = verified(near, "links_near")
+    label = work.save(components(work, links), "labels")
+    for c, to in (("ac", "la"), ("bc", "lb")):
+        pairs = pairs.join(label.select(F.col("node").alias(c), F.col("label").alias(to)), c, "left")
+    apart = pairs.where("coalesce(la, ac) != coalesce(lb, bc)").select("ac", "bc", "al", "bl")
+    apart = work.save(apart.join(near, ["ac", "bc"], "left_anti"), "apart")
+    return links.unionByName(verified(apart, "links_apart"))
 
 
 #: Tokens that a chunk of documents holds on average (2 MB); two chunks meet in one cell.  A set counts for so many at least.

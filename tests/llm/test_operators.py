@@ -154,6 +154,26 @@ def test_ngram_bands_of_sizes(spark, monkeypatch):
     assert max(counted) < 0.8 * sum(map(len, sets.values()))
 
 
+def test_pipeline_near_verifies_few_pairs_of_a_cluster(spark, monkeypatch):
+    """Of 30 near copies of one text 435 pairs are linked; to find the group, about one a copy is enough.  A chain stays whole."""
+    base = [f"a{k}" for k in range(100)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(30)]
+    rows += [(100 + i, " ".join(f"c{k}" for k in range(i * 2, i * 2 + 11))) for i in range(20)]
+    verified = []
+    save = Work.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name == "cells":
+            verified.append(out.count())
+        return out
+
+    monkeypatch.setattr(Work, "save", saved)
+    got = {r.doc_id for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {0, 100}
+    assert sum(verified) < 150
+
+
 def test_pipeline_near_decides_by_row(spark):
     """Repeated ids: unlinked rows stay, and exactly one row of each linked group."""
     base = " ".join(f"a{k}" for k in range(40))
