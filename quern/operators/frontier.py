@@ -18,12 +18,18 @@ def add(candidates: DataFrame, frontier: DataFrame, seen: DataFrame) -> DataFram
     return frontier.select("url", "ord").unionByName(new.join(known, "url", "left_anti").select("url", "ord"))
 
 
-def seeds(urls: DataFrame, crawls: DataFrame, redo_all: bool = False, redo_failed: bool = False) -> DataFrame:
+def seeds(urls: DataFrame, crawls: DataFrame, redo_all: bool = False, redo_failed: bool = False, key: str = "url", crawl_key: str = "source_url") -> DataFrame:
     """Seeds still to crawl: ``redo_all`` beats ``redo_failed``, which only leaves out successful ones."""
     if redo_all:
         return urls
     done = crawls.where("fetch_success") if redo_failed else crawls
-    return urls.join(done.select(F.col("source_url").alias("url")).distinct(), "url", "left_anti")
+    return urls.join(done.select(F.col(crawl_key).alias(key)).distinct(), key, "left_anti").select(*urls.columns)
+
+
+def not_in(df: DataFrame, key: str, some: DataFrame, column: str) -> DataFrame:
+    """Of ``df``, as by an anti join with ``some``, the rows that SQL's NOT IN keeps: none if ``some`` has a null, and no null key unless it is empty."""
+    known = some.agg(F.count(F.lit(1)).alias("q_all"), F.count(column).alias("q_set"))
+    return df.join(F.broadcast(known)).where(f"q_all = 0 or (q_all = q_set and {key} is not null)").select(*df.columns)
 
 
 def queries(templates: DataFrame, locations: DataFrame) -> DataFrame:

@@ -236,3 +236,26 @@ def test_stream_dedup_and_throttle(spark, tmp_path):
     q = st.throttle(stream, 5.0).writeStream.format("memory").queryName("starts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["domain"], r["start"]) for r in spark.table("starts").collect()) == [("d", 0.0), ("d", 5.0), ("d", 10.0), ("e", 1.0)]
+
+
+def test_seed_antijoin_goes_by_page_as_its_sql_does(spark):
+    import duckdb
+
+    from quern.plans.catalogue import ORACLES, QUERIES_RAW
+
+    def both(pages, labels):
+        values = lambda rows: ", ".join(f"({', '.join('NULL' if x is None else repr(x) for x in r)})" for r in rows)
+        con = duckdb.connect()
+        con.sql(f"CREATE TABLE pages AS SELECT * FROM (VALUES {values(pages)}) p(page_id, url)")
+        con.sql(f"CREATE TABLE labels AS SELECT * FROM (VALUES {values(labels)}) l(doc_id, quality)")
+        tables = {"pages": spark.createDataFrame(pages, "page_id long, url string"), "labels": spark.createDataFrame(labels, "doc_id long, quality int")}
+        got = QUERIES_RAW["seed_antijoin"](spark, lambda name: tables[name]).collect()
+        rows = lambda x: sorted((tuple(r) for r in x), key=str)
+        assert rows(got) == rows(con.sql(ORACLES["seed_antijoin"]).fetchall())
+        return [r.url for r in got]
+
+    # Two pages of one URL, of which one is labelled good; a page without URL; a label of no page.
+    assert sorted(both([(1, "u"), (2, "u"), (3, "v"), (4, "w"), (5, None)], [(1, 1), (1, 1), (3, 0), (9, 1)]), key=str) == [None, "u", "v", "w"]
+    assert both([(1, "u"), (2, "v")], [(None, 1)]) == []
+    assert both([(None, "u"), (2, "v")], [(3, 1), (None, 0)]) == ["v"]
+    assert sorted(both([(None, "u"), (2, "v")], [(2, 0)])) == ["u", "v"]
