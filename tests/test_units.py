@@ -34,6 +34,37 @@ def test_greedy_match_ties_prefer_higher_indices():
     assert scoring.greedy_pairs(["abc"], ["xyz"]) == [(0, None, 0.0)]
 
 
+def test_greedy_match_equals_all_pairs_and_scores_names_once(monkeypatch):
+    import difflib
+    import random
+
+    def all_pairs(gold, extracted, least):
+        clean = [[(x or "").strip().lower() for x in names] for names in (gold, extracted)]
+        ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+        used, taken = {}, set()
+        for s, i, j in sorted(((ratio(a, b), i, j) for i, a in enumerate(clean[0]) for j, b in enumerate(clean[1])), reverse=True):
+            if s >= least and i not in used and j not in taken:
+                used[i] = j, s
+                taken.add(j)
+        return [(i, *used.get(i, (None, 0.0))) for i in range(len(gold))]
+
+    r = random.Random(5)
+    name = lambda: None if r.random() < 0.05 else "".join(r.choice("abC ") for _ in range(r.randint(0, 6)))
+    for kept in (1, 2, 256):
+        monkeypatch.setattr(scoring, "KEPT_NAMES", kept, raising=False)
+        for _ in range(150):
+            gold, extracted, least = [name() for _ in range(r.randint(0, 20))], [name() for _ in range(r.randint(0, 20))], r.choice([0, 0.3, 1.0])
+            assert scoring.greedy_pairs(gold, extracted, least) == all_pairs(gold, extracted, least)
+    # Long names too, with what difflib takes for junk in 200 characters and more.
+    long = ["ab" * 300, "ab" * 99 + "c", "ab" * 100, "x" * 250]
+    assert scoring.greedy_pairs(long, long[::-1]) == all_pairs(long, long[::-1], 0.3)
+    # 3,000 records of 3 names a side: 9 scores, and not 9 million.
+    calls, matcher = [], difflib.SequenceMatcher
+    monkeypatch.setattr(difflib, "SequenceMatcher", lambda *a: calls.append(a) or len(calls) > 9 and pytest.fail("scores records") or matcher(*a))
+    got = scoring.greedy_pairs(["red bolt", "old plate", "hot ring"] * 1000, ["bolt", "plate", "ring"] * 1000)
+    assert got[-1] == (2999, 2999, pytest.approx(2 / 3)) and len({j for _, j, _ in got}) == 3000
+
+
 def test_wilson(spark):
     df = spark.createDataFrame([(5, 5), (0, 13), (28, 35), (0, 0)], "h long, n long")
     low, high = wilson(df["h"], df["n"])
