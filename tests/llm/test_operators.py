@@ -373,3 +373,16 @@ def test_oracles(spark, name):
     want = con.sql(registry.ORACLES[name]).df()[got.columns]
     clean = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
     assert clean(got.collect()) == clean(want.astype(object).where(want.notna(), None).itertuples(index=False, name=None))
+
+
+def test_ngram_texts_are_split_once_for_all_bands(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BAND_SHINGLES", 1)
+    monkeypatch.setattr(ngram_join, "BAND_SHARE", 0.1)
+    calls, hashes = [], ngram_join._hashes
+    monkeypatch.setattr(ngram_join, "_hashes", lambda *a: calls.append(a) or hashes(*a))
+    words = lambda k, size: " ".join(f"w{k}x{i}" for i in range(size))
+    texts = [words(k, size) + end for k, size in enumerate((10, 20, 40, 80)) for end in ("", " y")]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_similar, r.component_id) for r in ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(8)}
+    assert len(calls) == 2  # the sample, and all
